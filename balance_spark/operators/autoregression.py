@@ -1,0 +1,210 @@
+"""Choosing a seasonal autoregression per series, and rolling it forward.
+
+Spark brings every series to one short row (``forecast.py``); these helpers fit and
+continue all series of an Arrow batch at once, so that there is no Python loop over
+series or values.
+"""
+
+from __future__ import annotations
+
+import itertools
+
+import numpy as np
+
+#: Ordinary and seasonal differences that compete.
+DIFFERENCES = ((0, 0), (1, 0), (0, 1), (1, 1))
+#: Positions of the regressors in the lag vector (1, w[t], w[t-1], w[t-2], w[t-s], w[t-s-1]).
+LAG_SETS = ((), (2,), (2, 3), (4,), (2, 4), (2, 3, 4), (2, 4, 5))
+#: Observations left for the fit; shorter series are smoothed instead.
+MIN_SAMPLE = 16
+#: Series worked on together, to bound the memory of the lag matrices.
+CHUNK = 512
+
+
+def deepest_lag(season: int) -> int:
+    return 2 * season + 2
+
+
+def lags_of(season: int) -> tuple[int, ...]:
+    return (0, 1, 2, season, season + 1)
+
+
+def difference(series: np.ndarray, lag: int) -> np.ndarray:
+    """``x[t] - x[t-lag]``, the first ``lag`` columns unknown."""
+    out = np.full_like(series, np.nan)
+    out[:, lag:] = series[:, lag:] - series[:, :-lag]
+    return out
+
+
+def gram(series: np.ndarray, counts: np.ndarray, season: int, d: int, seasonal_d: int):
+    """Cross-products of the lag vector per series, (batch, 6, 6).
+
+    ``series`` is right-aligned.  Every differencing uses the same sample: the values
+    that have the deepest lag of any candidate before them.
+    """
+    width = series.shape[1]
+    for lag in [1] * d + [season] * seasonal_d:
+        series = difference(series, lag)
+    usable = np.arange(width) >= (width - counts + deepest_lag(season))[:, None]
+    columns = [usable.astype(float)]
+    for lag in lags_of(season):
+        shifted = np.zeros_like(series)
+        shifted[:, lag:] = series[:, : width - lag]
+        columns.append(np.where(usable, shifted, 0.0))
+    stacked = np.stack(columns, axis=1)
+    return stacked @ stacked.transpose(0, 2, 1)
+
+
+def _candidate_filter(lag_set, coefficients, season, d, seasonal_d):
+    """Weights of z[t-1], z[t-2], … implied by the fit and its differences."""
+    batch = len(coefficients)
+    lags = lags_of(season)
+    poly = np.zeros((batch, season + 2))
+    poly[:, 0] = 1.0
+    for column, position in enumerate(lag_set):
+        poly[:, lags[position - 1]] = -coefficients[:, column]
+    stable = np.ones(batch, bool)
+    if lag_set:
+        order = lags[lag_set[-1] - 1]
+        companion = np.zeros((batch, order, order))
+        companion[:, 0, :] = -poly[:, 1 : order + 1]
+        companion[:, np.arange(1, order), np.arange(order - 1)] = 1.0
+        stable = np.abs(np.linalg.eigvals(companion)).max(axis=1) < 0.999
+    full = np.zeros((batch, deepest_lag(season) + 1))
+    full[:, : season + 2] = poly
+    for lag in [1] * d + [season] * seasonal_d:
+        shifted = np.zeros_like(full)
+        shifted[:, lag:] = full[:, :-lag]
+        full = full - shifted
+    return -full[:, 1:], stable
+
+
+def choose(series: np.ndarray, counts: np.ndarray, season: int):
+    """Best candidate per series by AICc: lag weights, constant, innovation variance.
+
+    All candidates predict the same values from the same sample, so their AICc can be
+    compared across differences.
+    """
+    batch = len(series)
+    sample = (counts - deepest_lag(season)).astype(float)
+    best = np.full(batch, np.inf)
+    weights = np.zeros((batch, deepest_lag(season)))
+    constant = np.zeros(batch)
+    variance = np.zeros(batch)
+    for d, seasonal_d in DIFFERENCES:
+        products = gram(series, counts, season, d, seasonal_d)
+        for lag_set in LAG_SETS:
+            # A constant under two differences would be a quadratic trend.
+            regressors = ((0,) if d + seasonal_d < 2 else ()) + lag_set
+            k = len(regressors)
+            solution = np.zeros((batch, k))
+            if k:
+                left = products[:, regressors][:, :, regressors] + 1e-9 * np.eye(k)
+                solution = np.linalg.solve(left, products[:, regressors, 1][..., None])[..., 0]
+            rest = products[:, 1, 1] - (solution * products[:, regressors, 1]).sum(axis=1)
+            sigma2 = np.maximum(rest, 1e-12 * sample) / sample
+            aicc = sample * np.log(sigma2) + 2 * (k + 1) * sample / (sample - k - 2)
+            first = 1 if 0 in regressors else 0
+            filter_, stable = _candidate_filter(
+                lag_set, solution[:, first:], season, d, seasonal_d
+            )
+            take = stable & (aicc < best)
+            best[take] = aicc[take]
+            weights[take] = filter_[take]
+            constant[take] = solution[take, 0] if first else 0.0
+            variance[take] = sigma2[take] * sample[take] / np.maximum(sample[take] - k, 1)
+    return weights, constant, variance
+
+
+def roll_forward(history, weights, constant, variance, horizon):
+    """``horizon`` values and their standard errors; ``history`` ends with the last value."""
+    depth = weights.shape[1]
+    path = np.concatenate([history[:, -depth:], np.zeros((len(history), horizon))], axis=1)
+    psi = np.zeros((len(history), depth + horizon))
+    psi[:, depth] = 1.0
+    newest_first = weights[:, ::-1]
+    for step in range(horizon):
+        now = depth + step
+        path[:, now] = constant + (newest_first * path[:, now - depth : now]).sum(axis=1)
+        if step:
+            psi[:, now] = (newest_first * psi[:, now - depth : now]).sum(axis=1)
+    spread = np.cumsum(psi[:, depth:] ** 2, axis=1)
+    return path[:, depth:], np.sqrt(variance[:, None] * spread)
+
+
+def smooth(history: np.ndarray, season: int, horizon: int):
+    """Additive Holt-Winters for short series of equal length, best of a few rates.
+
+    Without two full seasons there is no seasonal part, below three values no trend.
+    """
+    batch, length = history.shape
+    period = season if length >= 2 * season else 1
+    seasonal_rates = (0.1, 0.5) if period > 1 else (0.0,)
+    trend_rates = (0.05, 0.3) if length >= 3 else (0.0,)
+    best = np.full(batch, np.inf)
+    value, error = np.zeros((batch, horizon)), np.zeros((batch, horizon))
+    steps = np.arange(1, horizon + 1)
+    for alpha, beta, gamma in itertools.product((0.2, 0.5, 0.8), trend_rates, seasonal_rates):
+        if period > 1:
+            level = history[:, :period].mean(axis=1)
+            trend = (history[:, period : 2 * period].mean(axis=1) - level) / period
+            cycle = history[:, :period] - level[:, None]
+            start = period
+        else:
+            level = history[:, 0]
+            trend = history[:, 1] - level if length >= 3 else np.zeros(batch)
+            cycle = np.zeros((batch, 1))
+            start = 1
+        squares = np.zeros(batch)
+        cycle = cycle.copy()
+        for t in range(start, length):
+            season_now = cycle[:, t % period].copy()
+            miss = history[:, t] - level - trend - season_now
+            level = level + trend + alpha * miss
+            trend = trend + alpha * beta * miss
+            cycle[:, t % period] = season_now + gamma * (1 - alpha) * miss
+            squares += miss**2
+        sigma2 = squares / max(length - start, 1)
+        ahead = level[:, None] + trend[:, None] * steps + cycle[:, (length - 1 + steps) % period]
+        growth = alpha * (1 + beta * steps) + gamma * (1 - alpha) * (
+            (steps % period == 0) if period > 1 else 0
+        )
+        spread = 1 + np.concatenate([[0.0], np.cumsum(growth**2)[:-1]])
+        take = squares < best
+        best[take] = squares[take]
+        value[take] = ahead[take]
+        error[take] = np.sqrt(sigma2[:, None] * spread)[take]
+    return value, error
+
+
+def continue_batch(series: list[np.ndarray], season: int, horizon: int):
+    """Values and standard errors of the next ``horizon`` steps, (batch, horizon) each."""
+    value = np.zeros((len(series), horizon))
+    error = np.zeros((len(series), horizon))
+    for start in range(0, len(series), CHUNK):
+        chunk = slice(start, start + CHUNK)
+        value[chunk], error[chunk] = _continue_chunk(series[chunk], season, horizon)
+    return value, error
+
+
+def _continue_chunk(series, season, horizon):
+    counts = np.array([len(one) for one in series])
+    width = counts.max()
+    aligned = np.full((len(series), width), np.nan)
+    for row, one in enumerate(series):
+        aligned[row, width - len(one) :] = one
+    mean = np.nanmean(aligned, axis=1, keepdims=True)
+    scale = np.nanstd(aligned, axis=1, keepdims=True)
+    scale[scale <= 1e-12 * np.abs(mean)] = 1.0
+    scaled = (aligned - mean) / scale
+
+    value = np.zeros((len(series), horizon))
+    error = np.zeros((len(series), horizon))
+    long = counts >= deepest_lag(season) + MIN_SAMPLE
+    if long.any():
+        fit = choose(scaled[long], counts[long], season)
+        value[long], error[long] = roll_forward(scaled[long], *fit, horizon)
+    for length in np.unique(counts[~long]):
+        same = counts == length
+        value[same], error[same] = smooth(scaled[same][:, width - length :], season, horizon)
+    return mean + scale * value, scale * error
