@@ -32,11 +32,12 @@ def _normal_width(level: float) -> float:
 
 
 def seasonal_profile(grid: DataFrame, plan: ForecastPlan) -> DataFrame:
-    """Per series: trend, seasonal means and leftover spread.
+    """Per series: the slope, a level per season position, and the leftover spread.
 
-    The first aggregation leaves one row per season position, the second one per
-    series; trend and spread follow from the moments of the positions.  Without two
-    full seasons all rows count as one position.
+    This is the least-squares fit of a straight trend plus one level per position.  Its
+    slope depends on the moments inside the positions only, so one aggregation per
+    position and one per series are all it takes.  Without two full seasons all rows
+    count as one position.
     """
     series = Window.partitionBy("unique_id").orderBy("ds")
     whole = Window.partitionBy("unique_id")
@@ -47,7 +48,7 @@ def seasonal_profile(grid: DataFrame, plan: ForecastPlan) -> DataFrame:
         F.when(F.col("length") >= 2 * plan.season, F.col("t") % plan.season).otherwise(0),
     )
     y, t = F.col("y"), F.col("t").cast("double")
-    phases = placed.groupBy("unique_id", "phase").agg(
+    positions = placed.groupBy("unique_id", "phase").agg(
         F.count("*").alias("n"),
         F.avg(y).alias("y"),
         F.avg(t).alias("t"),
@@ -57,48 +58,47 @@ def seasonal_profile(grid: DataFrame, plan: ForecastPlan) -> DataFrame:
         F.max("ds").alias("last"),
         F.max("t").alias("last_t"),
     )
-    n = F.col("n")
-    over = lambda column: F.sum(column).over(whole)
-    centred = phases.withColumns(
-        {"total": over(n), "mean_y": over(n * F.col("y")), "mean_t": over(n * F.col("t"))}
-    ).withColumns(
-        {"mean_y": F.col("mean_y") / F.col("total"), "mean_t": F.col("mean_t") / F.col("total")}
-    )
-    dy, dt = F.col("y") - F.col("mean_y"), F.col("t") - F.col("mean_t")
-    slope = F.try_divide(over(n * (F.col("ty") + dt * dy)), over(n * (F.col("tt") + dt * dt)))
-    trended = centred.withColumn("slope", F.coalesce(slope, F.lit(0.0))).withColumn(
-        "effect", dy - F.col("slope") * dt
-    )
-    spread = n * (
-        F.col("yy") + F.col("slope") ** 2 * F.col("tt") - 2 * F.col("slope") * F.col("ty")
-    )
-    return trended.groupBy("unique_id").agg(
-        F.max("last").alias("last"),
-        F.max("last_t").alias("last_t"),
-        F.first("slope").alias("slope"),
-        (F.first("mean_y") - F.first("slope") * F.first("mean_t")).alias("intercept"),
-        F.map_from_entries(F.collect_list(F.struct("phase", "effect"))).alias("effects"),
-        F.coalesce(
-            F.sqrt(
-                F.greatest(F.try_divide(F.sum(spread), F.first("total") - 1), F.lit(0.0))
-            ),
-            F.lit(0.0),
-        ).alias("sd"),
+    n, slope = F.col("n"), F.coalesce(F.try_divide("ty", "tt"), F.lit(0.0))
+    squares = F.col("yy") - 2 * slope * F.col("ty") + slope * slope * F.col("tt")
+    return (
+        positions.groupBy("unique_id")
+        .agg(
+            F.max("last").alias("last"),
+            F.max("last_t").alias("last_t"),
+            F.sum("n").alias("length"),
+            F.sum(n * F.col("yy")).alias("yy"),
+            F.sum(n * F.col("tt")).alias("tt"),
+            F.sum(n * F.col("ty")).alias("ty"),
+            F.map_from_entries(
+                F.collect_list(F.struct("phase", F.struct("y", "t").alias("mean")))
+            ).alias("means"),
+        )
+        .select(
+            "unique_id",
+            "last",
+            "last_t",
+            "means",
+            slope.alias("slope"),
+            F.coalesce(
+                F.sqrt(F.greatest(F.try_divide(squares, F.col("length") - 1), F.lit(0.0))),
+                F.lit(0.0),
+            ).alias("sd"),
+        )
     )
 
 
 def forecast_seasonal(points: DataFrame, plan: ForecastPlan) -> DataFrame:
-    """Trend plus seasonal mean, with the leftover spread as interval."""
+    """Trend plus seasonal level, with the leftover spread as interval."""
     profile = seasonal_profile(upsample(points, plan.step_months), plan)
     t = F.col("last_t") + F.col("k")
-    effect = F.try_element_at("effects", (t % plan.season).cast("long"))
-    value = F.col("intercept") + F.col("slope") * t + F.coalesce(
-        effect, F.try_element_at("effects", F.lit(0).cast("long"))
+    mean = F.coalesce(
+        F.try_element_at("means", t % plan.season), F.try_element_at("means", F.lit(0))
     )
     half = F.col("sd") * _normal_width(plan.level)
     return (
         profile.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(plan.horizon))))
-        .withColumn("value", value)
+        .withColumn("mean", mean)
+        .withColumn("value", F.col("mean.y") + F.col("slope") * (t - F.col("mean.t")))
         .select(
             "unique_id",
             "last",

@@ -3,10 +3,13 @@
 Supply is the quantity shipped by the supplier's nation per part type and month,
 demand the quantity ordered by the customer's nation per market segment and year.
 
-Every fact table is read once and aggregated before each shuffle that follows: a key
-that holds a large part of all rows is down to a few rows per key when it is joined.
-Totals over categories and over member states come from exploding the aggregated rows,
-not from a second pass over the facts.
+Every fact table is read once, pruned to the columns in use, and shuffled once per
+lookup; the aggregation per nation then combines before its own, small shuffle.  No side
+is forced into a broadcast: Spark broadcasts what it measures to be small and otherwise
+sort-merges, splitting the tasks of a key that holds a large part of all rows (adaptive
+skew join).  Where a key repeats before a join it is aggregated first.  Totals over
+categories and over member states come from exploding the aggregated rows, not from a
+second pass over the facts.
 """
 
 from __future__ import annotations
@@ -92,15 +95,11 @@ def supply(spark: SparkSession, folder: str) -> DataFrame:
     )
     part = read(spark, folder, "part").select("p_partkey", F.col("p_type").alias("siec"))
     supplier = read(spark, folder, "supplier").select("s_suppkey", "s_nationkey")
-    per_supplier = (
-        shipped.join(part, F.col("l_partkey") == F.col("p_partkey"))
-        .groupBy("l_suppkey", "siec", "date")
-        .agg(F.sum("l_quantity").alias("energy_prod"))
-    )
     per_nation = (
-        per_supplier.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+        shipped.join(part, F.col("l_partkey") == F.col("p_partkey"))
+        .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
         .groupBy("s_nationkey", "siec", "date")
-        .agg(F.sum("energy_prod").alias("energy_prod"))
+        .agg(F.sum("l_quantity").alias("energy_prod"))
     )
     return _named(per_nation, "s_nationkey", spark, folder).select(
         "state", "member", "siec", "date", "energy_prod"
@@ -120,13 +119,9 @@ def demand(spark: SparkSession, folder: str) -> DataFrame:
     customer = read(spark, folder, "customer").select(
         "c_custkey", "c_nationkey", F.col("c_mktsegment").alias("nrg_bal")
     )
-    per_customer = (
-        per_order.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .groupBy("o_custkey", "date")
-        .agg(F.sum("energy_cons").alias("energy_cons"))
-    )
     per_nation = (
-        per_customer.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+        per_order.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(customer, F.col("o_custkey") == F.col("c_custkey"))
         .groupBy("c_nationkey", "nrg_bal", "date")
         .agg(F.sum("energy_cons").alias("energy_cons"))
     )
@@ -148,17 +143,18 @@ def consumption(spark: SparkSession, folder: str) -> DataFrame:
 def observed_population(spark: SparkSession, folder: str) -> DataFrame:
     """Ordering customers per nation and year, with the aggregate of the members.
 
-    A customer belongs to one nation, so distinct (customer, year) pairs can be
-    counted after the join.
+    A customer belongs to one nation, so the distinct years of each customer can be
+    counted after the join; collecting them per customer leaves both on one partitioning.
     """
     ordering = (
         read(spark, folder, "orders")
-        .select("o_custkey", year_start(F.col("o_orderdate")).alias("date"))
-        .distinct()
+        .groupBy("o_custkey")
+        .agg(F.collect_set(year_start(F.col("o_orderdate"))).alias("years"))
     )
     customer = read(spark, folder, "customer").select("c_custkey", "c_nationkey")
     per_nation = (
         ordering.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+        .withColumn("date", F.explode("years"))
         .groupBy("c_nationkey", "date")
         .agg(F.count("*").cast("double").alias("population"))
     )

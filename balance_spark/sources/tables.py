@@ -27,9 +27,8 @@ def settled(table: DataFrame) -> DataFrame:
     The cluster names that folder in ``spark.checkpoint.dir``; only where it names
     none (a test on one machine) a temporary one is used.
     """
-    context = table.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="balance-checkpoint-"))
+    spark = table.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="balance-"))
     return table.checkpoint()
-

@@ -177,24 +177,25 @@ def seasonal(points: str, step: int, season: int, horizon: int) -> dict[str, str
         "phased": f"""
             SELECT *, CASE WHEN n >= {2 * season} THEN t % {season} ELSE 0 END AS phase
             FROM placed""",
+        "level": """
+            SELECT unique_id, phase, AVG(y) AS my, AVG(t) AS mt FROM phased GROUP BY 1, 2""",
         "trend": """
             SELECT unique_id, MAX(ds) AS last, MAX(t) AS last_t, MAX(n) AS n,
-                   CASE WHEN MAX(n) > 1 THEN regr_slope(y, t) ELSE 0 END AS b,
-                   CASE WHEN MAX(n) > 1 THEN regr_intercept(y, t) ELSE MAX(y) END AS a
-            FROM phased GROUP BY unique_id""",
-        "rest": """
-            SELECT unique_id, phase, y - a - b * t AS r FROM phased JOIN trend USING (unique_id)""",
-        "season": "SELECT unique_id, phase, AVG(r) AS s FROM rest GROUP BY 1, 2",
+                   CASE WHEN SUM((t - mt) * (t - mt)) > 0
+                        THEN SUM((t - mt) * (y - my)) / SUM((t - mt) * (t - mt)) ELSE 0 END AS b
+            FROM phased JOIN level USING (unique_id, phase) GROUP BY unique_id""",
         "spread": f"""
-            SELECT unique_id, COALESCE({WIDTH} * stddev_samp(r - s), 0) AS half
-            FROM rest JOIN season USING (unique_id, phase) GROUP BY 1""",
+            SELECT unique_id,
+                   COALESCE({WIDTH} * stddev_samp(y - my - b * (t - mt)), 0) AS half
+            FROM phased JOIN level USING (unique_id, phase) JOIN trend USING (unique_id)
+            GROUP BY 1""",
         "ahead": f"""
-            SELECT unique_id, last, a + b * (last_t + k) + s AS value, half,
+            SELECT unique_id, last, my + b * (last_t + k - mt) AS value, half,
                    CAST(last + to_months(CAST(k * {step} AS INTEGER)) AS DATE) AS date
-            FROM trend JOIN spread USING (unique_id), range(1, {horizon + 1}) AS h(k), season
-            WHERE season.unique_id = trend.unique_id
-              AND season.phase = CASE WHEN n >= {2 * season} THEN (last_t + k) % {season}
-                                 ELSE 0 END""",
+            FROM trend JOIN spread USING (unique_id), range(1, {horizon + 1}) AS h(k), level
+            WHERE level.unique_id = trend.unique_id
+              AND level.phase = CASE WHEN n >= {2 * season} THEN (last_t + k) % {season}
+                                ELSE 0 END""",
         "forecast": """
             SELECT unique_id, last, date, value, value - half AS low, value + half AS high
             FROM ahead""",

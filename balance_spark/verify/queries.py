@@ -31,6 +31,7 @@ from balance_spark.plans.reports import (
 )
 from balance_spark.sources import star, wide
 from balance_spark.sources.dims import labels
+from balance_spark.sources.tables import settled
 from balance_spark.specs import (
     AGGREGATE,
     BALANCE,
@@ -493,8 +494,8 @@ CONSUMPTION_LAYOUT = {
 
 def report_balance(spark, folder):
     report = balance_report(
-        star.flagged_production(spark, folder),
-        star.flagged_consumption(spark, folder),
+        settled(star.flagged_production(spark, folder)),
+        settled(star.flagged_consumption(spark, folder)),
         star.nations(spark, folder),
         YEAR,
     )
@@ -503,7 +504,7 @@ def report_balance(spark, folder):
 
 def report_production(spark, folder):
     report = production_report(
-        star.flagged_production(spark, folder),
+        settled(star.flagged_production(spark, folder)),
         star.nations(spark, folder),
         labels(spark, star.TYPE_LABELS),
         category=PRODUCTION.total,
@@ -519,8 +520,8 @@ def report_production(spark, folder):
 def report_consumption(spark, folder):
     sector_names = labels(spark, star.SEGMENT_LABELS)
     report = consumption_report(
-        star.flagged_consumption(spark, folder),
-        _population(spark, folder),
+        settled(star.flagged_consumption(spark, folder)),
+        settled(_population(spark, folder)),
         star.nations(spark, folder),
         sector_names,
         sector_names,
