@@ -16,16 +16,21 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from balance_spark.functions.numbers import not_below_zero
-from balance_spark.operators.autoregression import continue_batch
+from balance_spark.operators import autoregression
 from balance_spark.operators.members import only_states
 from balance_spark.operators.resample import one_per_date, upsample
 from balance_spark.specs import ForecastPlan, Measure
 
 
+# The fit travels to the executors inside the task, which need not have this package.
+cloudpickle.register_pickle_by_value(autoregression)
+
+
 def _normal_width(level: float) -> float:
     """Half width of a central interval, in standard errors."""
     return round(NormalDist().inv_cdf((1 + level) / 2), 6)
@@ -129,6 +134,7 @@ def forecast_auto(points: DataFrame, plan: ForecastPlan) -> DataFrame:
     """Seasonal autoregression per series, short series by smoothing."""
     season, horizon = plan.season, plan.horizon
     width = _normal_width(plan.level)
+    continue_batch = autoregression.continue_batch
 
     def continue_series(batches):
         for batch in filter(len, batches):

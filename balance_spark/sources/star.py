@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from balance_spark.functions.numbers import year_start
 from balance_spark.specs import AGGREGATE, CONSUMPTION, PRODUCTION, Measure
@@ -45,8 +46,15 @@ PREDICTED_FROM_MONTH = "2001-06-01"
 PREDICTED_YEAR = "2001-01-01"
 
 
+_schemas: dict[str, StructType] = {}
+
+
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A table; its schema is looked up once per path, not by a job for every reader."""
+    path = f"{folder}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
 
 
 def nations(spark: SparkSession, folder: str) -> DataFrame:

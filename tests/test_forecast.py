@@ -1,5 +1,9 @@
+import os
+import subprocess
+import sys
 from dataclasses import replace
 from datetime import date
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -236,3 +240,26 @@ def test_choice_of_series(spark):
 def test_clip(spark, rows):
     table = spark.createDataFrame([(-1.0, -2.0), (1.0, None)], "value double, low double")
     assert rows(clip_nonnegative(table, "value", "low")) == [(0.0, 0.0), (1.0, None)]
+
+
+def test_workers_do_not_need_the_package(spark, tmp_path):
+    """Run from another folder, with the package on the driver's path only."""
+    repo = Path(__file__).resolve().parents[1]
+    script = tmp_path / "job.py"
+    script.write_text(
+        f"""
+import sys
+sys.path.insert(0, {str(repo)!r})
+from pyspark.sql import SparkSession
+spark = (SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false")
+         .config("spark.sql.shuffle.partitions", "2").getOrCreate())
+import __spark_entry__ as driver
+print("rows", driver.queries()["forecast_upsampled"](spark, "/root/testdata/sf0.001").count())
+"""
+    )
+    environment = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run(
+        [sys.executable, str(script)], cwd=tmp_path, env=environment,
+        capture_output=True, text=True, timeout=300,
+    )
+    assert "rows" in done.stdout, done.stderr[-3000:]
