@@ -2,29 +2,35 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Cell texts that stand for "no observation".
 NULL_MARKERS = ("", ":", ": ")
 
-_NUMBER = r"^(-?[0-9.]+(?:[eE][-+]?[0-9]+)?)"
-_FLAG = r"([A-Za-z]+)$"
+_LETTERS = string.ascii_letters
 
 
 def _packed(raw: Column) -> Column:
     return F.replace(raw, F.lit(" "), F.lit(""))
 
 
+def _without_flag(raw: Column) -> Column:
+    return F.rtrim(_packed(raw), F.lit(_LETTERS))
+
+
 def cell_value(raw: Column) -> Column:
-    """The number at the start of a cell; NULL for missing or unreadable cells."""
-    number = F.regexp_extract(_packed(raw), _NUMBER, 1)
-    return F.nullif(number, F.lit("")).try_cast("double")
+    """The number in front of the flag letters; NULL for missing or unreadable cells."""
+    return _without_flag(raw).try_cast("double")
 
 
 def cell_flag(raw: Column) -> Column:
     """The flag letters at the end of a cell, NULL when there are none."""
-    return F.nullif(F.regexp_extract(_packed(raw), _FLAG, 1), F.lit(""))
+    packed = _packed(raw)
+    flag = F.substring(packed, F.length(_without_flag(raw)) + 1, F.length(packed))
+    return F.nullif(flag, F.lit(""))
 
 
 def is_missing(raw: Column) -> Column:

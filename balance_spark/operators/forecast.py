@@ -119,11 +119,14 @@ def series_rows(points: DataFrame, plan: ForecastPlan) -> DataFrame:
     """One row per series: ``unique_id, last`` and the values on the regular grid.
 
     The list holds one value per period between the first and the last date, so the
-    calendar bounds its length, not the number of observations.
+    calendar bounds its length, not the number of observations.  The series are spread
+    over all shuffle partitions whatever their bytes: a fit costs time, not space, so
+    merging small partitions would only make it wait.
     """
+    partitions = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = F.array_sort(F.collect_list(F.struct("ds", "y")))
     return (
-        upsample(points, plan.step_months)
+        upsample(points.repartition(partitions, "unique_id"), plan.step_months)
         .groupBy("unique_id")
         .agg(F.max("ds").alias("last"), ordered.alias("points"))
         .select("unique_id", "last", F.col("points.y").alias("y"))

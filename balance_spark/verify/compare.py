@@ -15,7 +15,8 @@ from balance_spark.verify.queries import QUERIES
 def connect(folder: str):
     connection = duckdb.connect()
     for file in sorted(Path(folder).glob("*.parquet")):
-        connection.execute(f"CREATE VIEW {file.stem} AS SELECT * FROM '{file}'")
+        source = file / "*.parquet" if file.is_dir() else file
+        connection.execute(f"CREATE VIEW {file.stem} AS SELECT * FROM '{source}'")
     return connection
 
 
