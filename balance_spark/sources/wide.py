@@ -59,26 +59,27 @@ def _quoted(name: str):
 
 
 def melt(wide: DataFrame, source: WideSource) -> DataFrame:
-    """One row per (key, period): the key parts, ``period`` and the ``raw`` cell.
+    """One row per (key, period): the key parts, ``date`` and the ``raw`` cell.
 
-    Codes are filtered on the wide rows, before the melt multiplies them.
+    Codes are filtered on the wide rows, before the melt multiplies them, and the period
+    headers become dates once per table: cells look theirs up by position.
     """
     key_column, *periods = wide.columns
     parts = key_parts(key_column)
     split_key = F.split(_quoted(key_column), ",")
     keyed = wide.select(
         *[split_key[i].alias(part) for i, part in enumerate(parts)],
-        *[_quoted(period) for period in periods],
+        F.array(*[_quoted(period) for period in periods]).alias("cells"),
     )
     for part, codes in source.keep.items():
         keyed = keyed.filter(F.col(part).isin(*codes))
     if source.drop_states:
         keyed = keyed.filter(~F.col("state").isin(*source.drop_states))
-    return keyed.unpivot(
-        [F.col(part) for part in parts],
-        [_quoted(period) for period in periods],
-        "period",
-        "raw",
+    dates = F.array(
+        *[period_start(F.lit(p), source.period, source.lenient_period) for p in periods]
+    )
+    return keyed.select(*parts, F.posexplode("cells").alias("position", "raw")).select(
+        *parts, F.get(dates, F.col("position")).alias("date"), "raw"
     )
 
 
@@ -88,7 +89,7 @@ def tidy(wide: DataFrame, source: WideSource, with_flag: bool = False) -> DataFr
     parsed = cells.select(
         *([F.col(source.category)] if source.category else []),
         state_code(F.col("state")).alias("state"),
-        period_start(F.col("period"), source.period, source.lenient_period).alias("date"),
+        "date",
         cell_value(F.col("raw")).alias(source.value),
         *([cell_flag(F.col("raw")).alias("flag")] if with_flag else []),
     )
@@ -109,7 +110,7 @@ def cell_quality(wide: DataFrame, source: WideSource) -> DataFrame:
     value = cell_value(raw)
     return (
         melt(wide, source)
-        .groupBy(period_start(F.col("period"), source.period, source.lenient_period).alias("date"))
+        .groupBy("date")
         .agg(
             F.count("*").alias("cells"),
             F.count_if(is_missing(raw)).alias("missing"),
