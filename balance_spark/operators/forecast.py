@@ -4,7 +4,7 @@ Two methods with one contract, ``unique_id, last, date, value, low, high`` with
 ``horizon`` rows per series after its ``last`` observed date:
 
 * ``seasonal``: straight trend plus seasonal means, Spark functions only;
-* ``auto``: a seasonal autoregression picked per series by AICc.
+* ``auto``: a seasonal ARMA model on differences, picked per series by AICc.
 
 All series are continued in one job.  Repeated observations are averaged per period
 before any series is put together, so no series is longer than the calendar.
@@ -21,14 +21,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from balance_spark.functions.numbers import not_below_zero
-from balance_spark.operators import autoregression
+from balance_spark.operators import seasonal_arma
 from balance_spark.operators.members import only_states
 from balance_spark.operators.resample import one_per_date, upsample
 from balance_spark.specs import ForecastPlan, Measure
 
 
 # The fit travels to the executors inside the task, which need not have this package.
-cloudpickle.register_pickle_by_value(autoregression)
+cloudpickle.register_pickle_by_value(seasonal_arma)
 
 
 def _normal_width(level: float) -> float:
@@ -134,10 +134,10 @@ def series_rows(points: DataFrame, plan: ForecastPlan) -> DataFrame:
 
 
 def forecast_auto(points: DataFrame, plan: ForecastPlan) -> DataFrame:
-    """Seasonal autoregression per series, short series by smoothing."""
+    """Seasonal ARMA model per series, short series by smoothing."""
     season, horizon = plan.season, plan.horizon
     width = _normal_width(plan.level)
-    continue_batch = autoregression.continue_batch
+    continue_batch = seasonal_arma.continue_batch
 
     def continue_series(batches):
         for batch in filter(len, batches):

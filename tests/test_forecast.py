@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from balance_spark.operators import autoregression as ar
+from balance_spark.operators import seasonal_arma as ar
 from balance_spark.operators.forecast import (
     clip_nonnegative,
     forecast_auto,
@@ -123,65 +123,84 @@ def test_repeated_rows_do_not_lengthen_a_series(spark):
     assert np.allclose(a[columns[1:]], b[columns[1:]])
 
 
-def brute_force(values, season, horizon):
-    """The same choice written out for one series, candidate by candidate."""
-    mean, scale = values.mean(), values.std()
-    z = (values - mean) / scale
+def brute_force(y, season, horizon):
+    """The same choice written out for one series, model by model and step by step."""
+    mean, scale = y.mean(), y.std()
+    z = (y - mean) / scale
     n, deep = len(z), 2 * season + 2
+    value_lags, shock_lags = [1, 2, season, season + 1], [1, season, season + 1]
     best = None
     for d, seasonal_d in ar.DIFFERENCES:
         w = z.copy()
         for lag in [1] * d + [season] * seasonal_d:
             w = np.concatenate([np.full(lag, np.nan), w[lag:] - w[:-lag]])
-        for lag_set in ar.LAG_SETS:
-            lags = [ar.lags_of(season)[p - 1] for p in lag_set]
-            x = [w[deep - lag : n - lag] for lag in lags]
-            if d + seasonal_d < 2:
-                x = [np.ones(n - deep), *x]
-            y = w[deep:]
+        target = w[deep:]
+        past = [w[deep - lag : n - lag] for lag in value_lags]
+        design = np.stack([np.ones(n - deep), *past], axis=1)
+        e = np.zeros(n)
+        e[deep:] = target - design @ np.linalg.lstsq(design, target, rcond=None)[0]
+        available = past + [e[deep - lag : n - lag] for lag in shock_lags]
+        for model in ar.MODELS:
+            intercept = d + seasonal_d < 2
+            x = [np.ones(n - deep)] * intercept + [available[p - 2] for p in model]
             if x:
                 design = np.stack(x, axis=1)
-                beta = np.linalg.lstsq(design, y, rcond=None)[0]
-                rest = y - design @ beta
+                beta = np.linalg.lstsq(design, target, rcond=None)[0]
+                rest = target - design @ beta
             else:
-                beta, rest = np.zeros(0), y
-            constant = beta[0] if d + seasonal_d < 2 else 0.0
-            phi = beta[len(beta) - len(lags) :]
-            if lags:
-                poly = np.zeros(max(lags) + 1)
+                beta, rest = np.zeros(0), target
+            slopes = dict(zip(model, beta[int(intercept) :]))
+            phi = {value_lags[p - 2]: b for p, b in slopes.items() if p < 6}
+            theta = {shock_lags[p - 6]: b for p, b in slopes.items() if p >= 6}
+
+            def dies_out(terms, sign):
+                poly = np.zeros(max(terms, default=0) + 1)
                 poly[0] = 1
-                poly[lags] = -phi
-                if np.abs(np.roots(poly)).max() >= 0.999:
-                    continue
-            size, k = len(y), len(x)
+                for lag, b in terms.items():
+                    poly[lag] = sign * b
+                return np.abs(np.roots(poly)).max(initial=0) < 0.999
+
+            if not (dies_out(phi, -1) and dies_out(theta, 1)):
+                continue
+            size, k = len(target), len(x)
             aicc = size * np.log((rest**2).mean()) + 2 * (k + 1) * size / (size - k - 2)
             if best is None or aicc < best[0]:
-                best = (aicc, d, seasonal_d, lags, phi, constant, (rest**2).sum() / (size - k))
-    _, d, seasonal_d, lags, phi, constant, sigma2 = best
-
-    def extend(start, constant, shock):
-        path = list(start)
-        for step in range(horizon):
-            t = len(path)
-
-            def diffed(s):
-                out = path[s]
-                if d:
-                    out -= path[s - 1]
-                if seasonal_d:
-                    out -= path[s - season]
-                if d and seasonal_d:
-                    out += path[s - season - 1]
-                return out
-
-            path.append(0.0)
-            known = diffed(t)  # what the differences subtract from z[t]
-            target = constant + sum(c * diffed(t - lag) for c, lag in zip(phi, lags))
-            path[t] = target - known + (shock if step == 0 else 0.0)
+                constant = beta[0] if intercept else 0.0
+                best = (aicc, d, seasonal_d, phi, theta, constant, (rest**2).sum() / (size - k))
+    _, d, seasonal_d, phi, theta, constant, sigma2 = best
+
+    def run(start, first, constant, last_shock):
+        """Rebuild the innovations from ``first`` on, then go on without any."""
+        path, e = list(start), [0.0] * len(start)
+        if last_shock is not None:
+            e[-1] = last_shock
+
+        def older(s):
+            """What the differences take off z[s]."""
+            out = 0.0
+            if d:
+                out += path[s - 1]
+            if seasonal_d:
+                out += path[s - season]
+            if d and seasonal_d:
+                out -= path[s - season - 1]
+            return out
+
+        def expected(t):
+            value = constant + older(t)
+            value += sum(b * (path[t - lag] - older(t - lag)) for lag, b in phi.items())
+            return value + sum(b * e[t - lag] for lag, b in theta.items())
+
+        for t in range(first, len(start)):
+            e[t] = path[t] - expected(t)
+        for _ in range(horizon):
+            path.append(expected(len(path)))
+            e.append(0.0)
         return np.array(path[len(start) :])
 
-    value = extend(z[-deep - 4 :], constant, 0.0)
-    psi = extend(np.zeros(deep + 4), 0.0, 1.0)
+    value = run(z, deep, constant, None)
+    # The response to one unit shock: a history of zeros that ends in it.
+    psi = np.concatenate([[1.0], run([0.0] * (deep + 4) + [1.0], deep + 5, 0.0, 1.0)])[:horizon]
     return mean + scale * value, scale * np.sqrt(sigma2 * np.cumsum(psi**2))
 
 
