@@ -27,8 +27,8 @@ MODELS = (
 )
 #: Observations left for the fit; shorter series are smoothed instead.
 MIN_SAMPLE = 16
-#: Series worked on together, to bound the memory of the lag matrices.
-CHUNK = 512
+#: Values worked on together, to bound the memory of the lag matrices.
+CHUNK_VALUES = 1 << 18
 
 
 def deepest_lag(season: int) -> int:
@@ -245,12 +245,21 @@ def smooth(history: np.ndarray, season: int, horizon: int):
 
 
 def continue_batch(series: list[np.ndarray], season: int, horizon: int):
-    """Values and standard errors of the next ``horizon`` steps, (batch, horizon) each."""
+    """Values and standard errors of the next ``horizon`` steps, (batch, horizon) each.
+
+    Series of similar length are padded to one width and worked on together.
+    """
     value = np.zeros((len(series), horizon))
     error = np.zeros((len(series), horizon))
-    for start in range(0, len(series), CHUNK):
-        chunk = slice(start, start + CHUNK)
-        value[chunk], error[chunk] = _continue_chunk(series[chunk], season, horizon)
+    order = np.argsort([len(one) for one in series], kind="stable")
+    start = 0
+    while start < len(order):
+        end = start + 1
+        while end < len(order) and (end + 1 - start) * len(series[order[end]]) <= CHUNK_VALUES:
+            end += 1
+        chunk = order[start:end]
+        value[chunk], error[chunk] = _continue_chunk([series[i] for i in chunk], season, horizon)
+        start = end
     return value, error
 
 

@@ -221,12 +221,14 @@ def test_batch_equals_brute_force(season, horizon):
         assert np.allclose(error[row], spread, rtol=1e-4, atol=1e-3), row
 
 
-def test_batch_does_not_depend_on_its_neighbours():
+def test_batch_does_not_depend_on_its_neighbours(monkeypatch):
     rng = np.random.default_rng(3)
     series = [50 + rng.normal(size=size).cumsum() for size in (3, 20, 45, 80, 45, 200)]
     together = ar.continue_batch(series, 12, 48)[0]
     alone = np.concatenate([ar.continue_batch([one], 12, 48)[0] for one in series])
     assert np.allclose(together, alone)
+    monkeypatch.setattr(ar, "CHUNK_VALUES", 100)
+    assert np.allclose(ar.continue_batch(series, 12, 48)[0], alone)
 
 
 def test_yearly_series(spark):
