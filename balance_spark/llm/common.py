@@ -156,3 +156,13 @@ def mixed(values: np.ndarray) -> np.ndarray:
 
 _BYTE_CODES = mixed(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
 _PLACE_CODES = mixed(np.arange(1001, 2025, dtype=np.uint64)) | np.uint64(1)
+
+
+def stored(table: DataFrame, name: str) -> DataFrame:
+    """Like ``durable``, as a table of its own in the shared folder: smaller, for large rows.
+
+    The folder belongs to the cluster's shared space and is cleared with it.
+    """
+    path = new_folder(table.sparkSession, name)
+    table.write.parquet(path)
+    return table.sparkSession.read.parquet(path)
