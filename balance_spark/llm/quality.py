@@ -88,8 +88,10 @@ def features(docs: DataFrame, **names: str) -> DataFrame:
         "n_repeat_words": F.coalesce(F.expr(covered), F.lit(0)),
         "n_shouts": _counted(F.col(text), "!"),
     }
-    rows = rows.withColumns({named[f]: v.cast("long") for f, v in values.items()})
-    return rows.drop(text, found, hashes, order)
+    # A generator: filters on these numbers must not be moved in front of it, where each
+    # mention of a number would measure the text again.
+    measured = F.struct(*[v.cast("long").alias(named[f]) for f, v in values.items()])
+    return rows.select(*docs.columns, F.inline(F.array(measured)))
 
 
 def base_failed(n_words: str = "n_words", n_repeat_words: str = "n_repeat_words") -> Column:
