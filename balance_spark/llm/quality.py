@@ -268,3 +268,73 @@ def keep_good(docs: DataFrame, labels: DataFrame, plan: RiskPlan = RiskPlan()) -
 def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     return judge(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+
+
+OP3_SQL = r"""
+WITH d AS (
+    SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t,
+           regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+), g AS (
+    SELECT doc_id, i, list_slice(w, i + 1, i + 5) AS x
+    FROM (SELECT doc_id, w, unnest(range(0, len(w) - 4)) AS i FROM d WHERE len(w) >= 5)
+), r AS (
+    SELECT doc_id, unnest(range(i, i + 5)) AS j
+    FROM g JOIN (SELECT doc_id, x FROM g GROUP BY doc_id, x HAVING count(*) > 1)
+    USING (doc_id, x)
+), n AS (
+    SELECT doc_id, count(DISTINCT j) AS n FROM r GROUP BY doc_id
+), f AS (
+    SELECT doc_id, stratum, CAST(len(w) AS BIGINT) AS n_words,
+           CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+           CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+           CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+           CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
+           CAST(length(regexp_replace(t, '[^!]', '', 'g')) AS BIGINT) AS n_shouts
+    FROM (SELECT *, list_filter(string_split(t, chr(10)),
+                                lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+          FROM d) LEFT JOIN n USING (doc_id)
+), s AS (
+    SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+           coalesce(n_symbols / nullif(word_chars, 0), 0.0) AS symbol_share,
+           coalesce(n_repeat_words / nullif(n_words, 0), 0.0) AS repeat_share,
+           20.0 * coalesce(n_dup_lines / nullif(n_words, 0), 0.0) AS dup_line_share,
+           coalesce(n_shouts / nullif(n_words, 0), 0.0) AS shout_share
+    FROM f
+), good AS (
+    SELECT doc_id, min(quality) AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id
+), held AS (
+    SELECT stratum, good, unnest([{'rule': 1, 'v': symbol_share}, {'rule': 2, 'v': repeat_share},
+                                  {'rule': 3, 'v': dup_line_share}, {'rule': 4, 'v': shout_share}])
+           AS x
+    FROM s JOIN good USING (doc_id) WHERE NOT base_failed
+), cutoffs AS (
+    SELECT * FROM (VALUES (0, 2.0), (1, 1.0), (2, 0.7), (3, 0.5), (4, 0.35), (5, 0.25),
+                          (6, 0.18), (7, 0.12), (8, 0.09), (9, 0.06), (10, 0.04)) v(place, cutoff)
+), tried AS (
+    SELECT stratum, x.rule AS rule, place, cutoff, count(*) FILTER (good = 1) AS n,
+           count(*) FILTER (good = 1 AND x.v > cutoff) AS k,
+           count(*) FILTER (good = 0 AND x.v > cutoff) AS bad
+    FROM held, cutoffs GROUP BY ALL
+), tested AS (
+    SELECT *, n > 0 AND k < n * 0.005 AND list_sum(list_transform(range(0, k + 1), lambda i:
+                  exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1)
+                      + i * ln(0.005) + (n - i) * ln(0.995))))
+              <= 0.05 / 4 / (SELECT count(DISTINCT stratum) FROM held) AS passed
+    FROM tried
+), stops AS (
+    SELECT stratum, rule, coalesce(min(place) FILTER (NOT passed), 11) AS stop
+    FROM tested GROUP BY stratum, rule
+), chosen AS (
+    SELECT stratum, rule, arg_max(cutoff, {'gain': bad - 20 * k, 'back': -place}) AS cutoff
+    FROM tested JOIN stops USING (stratum, rule) WHERE place < stop GROUP BY stratum, rule
+), limits AS (
+    SELECT stratum, max(cutoff) FILTER (rule = 1) AS a, max(cutoff) FILTER (rule = 2) AS b,
+           max(cutoff) FILTER (rule = 3) AS c, max(cutoff) FILTER (rule = 4) AS d
+    FROM chosen GROUP BY stratum
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_shouts, base_failed,
+       NOT (base_failed OR coalesce(symbol_share > a, false) OR coalesce(repeat_share > b, false)
+            OR coalesce(dup_line_share > c, false) OR coalesce(shout_share > d, false)) AS kept
+FROM s LEFT JOIN limits USING (stratum)
+"""

@@ -197,8 +197,8 @@ def repeats(gram, left, n_left, right, n_right, reach):
 def _groups(contexts: DataFrame, reach: int) -> DataFrame:
     """``(context, found, open)``: the bits of ``repeats`` for every distinct context.
 
-    A word run with more than ``GROUP`` contexts is dealt out in parts; what has no match in
-    its part is looked up by the hash of the whole passage over all parts.
+    A word run with more than ``GROUP`` contexts is dealt out in parts; its passages are also
+    given by their hashes (``open``), to be matched over all parts.
     """
     session = contexts.sparkSession
     distinct = contexts.groupBy("context").agg(
@@ -246,26 +246,15 @@ def _groups(contexts: DataFrame, reach: int) -> DataFrame:
         for o in range(reach + 1):
             able |= ((n_left >= o) & (n_right >= reach - o)).astype(np.uint64) << np.uint64(o)
         found = np.where(batch.column(5).to_numpy() > 1, able, found)
-        passages, large = [], batch.column(6).to_numpy(zero_copy_only=False)
-        missing = np.where(large, able & ~found, np.uint64(0))
-        for k in np.flatnonzero(missing).tolist():
-            hashes, own = [], int(missing[k])
-            for o in range(reach + 1):
-                if own >> o & 1:
-                    whole = np.concatenate([left[k, :o][::-1], right[k, : reach - o]])
-                    hashes.append((o, _folded(gram[k], o, whole)))
-            passages.append((k, hashes))
-        extra = dict(passages)
+        large = np.flatnonzero(batch.column(6).to_numpy(zero_copy_only=False))
+        passages = _passages(gram[large], left[large], right[large], reach)
+        opened = [[] for _ in range(len(gram))]
+        for k, own, hashes in zip(large.tolist(), able[large].tolist(), passages.tolist()):
+            opened[k] = [{"o": o, "passage": h} for o, h in enumerate(hashes) if own >> o & 1]
         return pa.RecordBatch.from_arrays(
             [
                 batch.column(2), pa.array(found.view(np.int64)),
-                pa.array(
-                    [
-                        [{"o": o, "passage": p} for o, p in extra.get(k, [])]
-                        for k in range(len(gram))
-                    ],
-                    _OPEN,
-                ),
+                pa.array(opened, _OPEN),
             ],
             names=["context", "found", "open"],
         )
@@ -278,13 +267,14 @@ def _groups(contexts: DataFrame, reach: int) -> DataFrame:
 _OPEN = pa.list_(pa.struct([("o", pa.int32()), ("passage", pa.int64())]))
 
 
-def _folded(gram, o, words):
-    """A hash of a passage: its run, where that stands in it, and the words around."""
-    total = int(gram) + o & 0xFFFFFFFFFFFFFFFF
-    for word in words.tolist():
-        total = (total ^ word) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
-        total ^= total >> 29
-    return total - (1 << 64) if total >> 63 else total
+def _passages(gram, left, right, reach):
+    """``[suffix, o]``: a hash of the passage that begins ``o`` words before the run."""
+    before, after = [gram.astype(np.uint64)], [gram.astype(np.uint64)]
+    for k in range(reach):
+        before.append(mixed(before[-1] ^ left[:, k]))
+        after.append(mixed(after[-1] ^ right[:, k]))
+    whole = [mixed(before[o] ^ mixed(after[reach - o] + np.uint64(o))) for o in range(reach + 1)]
+    return np.stack(whole, axis=1).view(np.int64)
 
 
 def repeated_spans(docs: DataFrame, *, min_words: int = 50) -> DataFrame:

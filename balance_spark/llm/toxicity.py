@@ -45,6 +45,7 @@ class NetPlan:
     hidden: int = 8
     attention: int = 8
     epochs: int = 6
+    steps: int = 240
     batch: int = 256
     rate: float = 0.01
     seed: int = 5
@@ -84,7 +85,7 @@ class Lexicon:
         rows, owners = [], []
         for size in self.plan.grams:
             value = np.zeros(len(joined), np.uint64)
-            for k in range(size):
+            for k in range(min(size, len(joined))):
                 value[: len(joined) - k] = value[: len(joined) - k] * base + joined[k:] + np.uint64(1)
             good = left >= size
             rows.append(mixed(value[good] + np.uint64(size << 56)) % np.uint64(self.plan.gram_rows))
@@ -277,9 +278,11 @@ class Network:
         last = np.append(first[1:], len(owner))
         moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.w.items()}
         step = 0
-        for epoch in range(plan.epochs):
+        about = int(4 * labels.sum() + 2 * (~labels).sum())
+        epochs = max(plan.epochs, min(40, plan.steps * plan.batch // about))
+        for epoch in range(epochs):
             chosen, target = [], []
-            score = None if epoch < 2 else self._all_logits(hashed, windows)
+            score = None if epoch < max(2, epochs // 4) else self._all_logits(hashed, windows)
             for k in range(len(texts)):
                 own = np.arange(first[k], last[k])
                 random = rng.choice(own, min(4 if labels[k] else 2, len(own)), replace=False)
@@ -303,7 +306,7 @@ class Network:
                     local = local + 1
                 _, g = self.gradients(_some(hashed, words - 1), local, target[part])
                 step += 1
-                self._move(g, moment, step, plan.rate * (1 - 0.8 * epoch / plan.epochs))
+                self._move(g, moment, step, plan.rate * (1 - 0.8 * epoch / epochs))
         highest = np.maximum.reduceat(self._all_logits(hashed, windows), first)
         self.scale = _calibrated(highest, labels)
 
