@@ -15,9 +15,11 @@ def annual(table: DataFrame, measure: Measure, collapse: bool = False) -> DataFr
     A year with actual and forecast rows comes out once per kind, both rows with the
     value of the whole year; ``collapse`` gives one row per series and year, predicted
     when any part of it is.  Both kinds are aggregated side by side, so the table is
-    shuffled once, after partial aggregation.
+    shuffled once, after partial aggregation.  Rows that do not say whether they are
+    predicted (NULL) count as actual ones.
     """
-    value, predicted = F.col(measure.value), F.col("predicted")
+    value = F.col(measure.value)
+    predicted = F.coalesce(F.col("predicted"), F.lit(False))
     combine = F.sum if measure.annual == "sum" else F.avg
     keys = ["state", "unique_id", measure.category]
     both = (

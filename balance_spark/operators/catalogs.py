@@ -16,15 +16,14 @@ def state_catalog(table: DataFrame, countries: DataFrame, aggregate: str = AGGRE
     """``state, name, title`` of the states present, the aggregate included, by name.
 
     The aggregate has no country name: it is listed under its code and titled
-    separately.
+    separately.  A state that the dimension does not know is listed under its code.
     """
     is_aggregate = F.col("state") == aggregate
     return (
         table.select("state")
         .distinct()
         .join(countries.select("state", "name"), "state", "left")
-        .withColumn("name", F.when(is_aggregate, aggregate).otherwise(F.col("name")))
-        .filter(F.col("name").isNotNull())
+        .withColumn("name", F.when(is_aggregate, aggregate).otherwise(F.coalesce("name", "state")))
         .withColumn("title", F.when(is_aggregate, AGGREGATE_TITLE).otherwise(F.col("name")))
         .orderBy("name")
     )
@@ -39,8 +38,12 @@ def state_catalog_members(
 
 
 def state_code_of(names: DataFrame, countries: DataFrame) -> DataFrame:
-    """``name, state`` for a table of country names."""
-    return names.join(countries.select("name", "state"), "name")
+    """``name, state`` for a table of names as ``state_catalog`` lists them.
+
+    The aggregate, and a state that the dimension does not know, is its own code.
+    """
+    known = countries.select("name", "state")
+    return names.join(known, "name", "left").withColumn("state", F.coalesce("state", "name"))
 
 
 def category_catalog(table: DataFrame, measure: Measure) -> DataFrame:
@@ -49,11 +52,15 @@ def category_catalog(table: DataFrame, measure: Measure) -> DataFrame:
 
 
 def category_labels(table: DataFrame, measure: Measure, labels: DataFrame) -> DataFrame:
-    """The category codes present, with the label a ``code, label`` dimension gives them."""
+    """The category codes present, with the label a ``code, label`` dimension gives them.
+
+    A code without a label is its own label.
+    """
     return (
         table.select(F.col(measure.category).alias("code"))
         .distinct()
-        .join(labels, "code")
+        .join(labels, "code", "left")
+        .withColumn("label", F.coalesce("label", "code"))
         .orderBy("code")
     )
 

@@ -55,9 +55,15 @@ def last_point(table: DataFrame, key: str) -> DataFrame:
 
 
 def forecast_span(table: DataFrame, start=None) -> DataFrame:
-    """One row: where the forecast panel starts and ends."""
-    first = F.lit(start).cast("date") if start else F.min(F.when(F.col("predicted"), F.col("date")))
-    return table.agg(first.alias("start"), F.max("date").alias("end"))
+    """One row: where the forecast panel starts and ends.
+
+    It runs to the last date of all rows from a given ``start``, else over the predicted
+    rows; without any both ends are NULL.
+    """
+    if start:
+        return table.agg(F.lit(start).cast("date").alias("start"), F.max("date").alias("end"))
+    date = F.when(F.col("predicted"), F.col("date"))
+    return table.agg(F.min(date).alias("start"), F.max(date).alias("end"))
 
 
 def member_average(

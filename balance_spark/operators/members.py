@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from balance_spark.sources.dims import fixed_rows
 from balance_spark.specs import AGGREGATE
 
 
@@ -14,7 +15,7 @@ def member_filter(table: DataFrame, countries: DataFrame, aggregate: str = AGGRE
     wanted = (
         countries.filter("member")
         .select("state")
-        .unionByName(spark.createDataFrame([(aggregate,)], "state string"))
+        .unionByName(fixed_rows(spark, [(aggregate,)], "state"))
     )
     return table.join(wanted, "state", "left_semi")
 

@@ -16,9 +16,12 @@ from balance_spark.specs import Measure
 
 
 def one_per_date(table: DataFrame, measure: Measure) -> DataFrame:
-    """``unique_id, ds, y``: the mean per series and date, whatever the input repeats."""
+    """``unique_id, ds, y``: the mean per series and month, whatever the input repeats.
+
+    Dates inside a month count as its first day; a month is the finest period there is.
+    """
     return (
-        table.groupBy("unique_id", F.col("date").alias("ds"))
+        table.groupBy("unique_id", F.trunc("date", "month").alias("ds"))
         .agg(F.avg(measure.value).alias("y"))
     )
 
@@ -40,7 +43,8 @@ def _segments(points: DataFrame, step_months: int) -> DataFrame:
 
 def _unroll(segments: DataFrame, step_months: int) -> DataFrame:
     """Every grid date of every segment; ``k`` counts from the segment's own point."""
-    inside = F.sequence(F.lit(0), F.coalesce(F.col("steps") - 1, F.lit(0)))
+    # Points of one month have no step between them; a sequence must not count down.
+    inside = F.sequence(F.lit(0), F.greatest(F.coalesce(F.col("steps") - 1, F.lit(0)), F.lit(0)))
     return segments.withColumn("k", F.explode(inside)).withColumn(
         "ds", F.add_months("ds", F.col("k") * step_months)
     )
@@ -86,6 +90,6 @@ def upsample(points: DataFrame, step_months: int) -> DataFrame:
     """
     segments = _segments(points.filter(F.col("y").isNotNull()), step_months)
     drawn = segments.withColumn("rise", F.lead("y").over(_series()) - F.col("y"))
-    share = F.col("k") / F.col("steps")
+    share = F.try_divide(F.col("k"), F.col("steps"))
     value = F.when(F.col("k") == 0, F.col("y")).otherwise(F.col("y") + F.col("rise") * share)
     return _unroll(drawn, step_months).select("unique_id", "ds", value.alias("y"))

@@ -2,8 +2,8 @@
 
 Each takes tables that already hold actual and forecast rows (``with_forecast``) and
 returns named DataFrames; nothing runs until the caller asks for one.  A caller that
-shows several sections should settle the forecast first (``sources.tables.settled``),
-since every section reads it.
+shows several sections can write the forecast first (``sources.tables.write_tidy``), since
+every section reads it.
 """
 
 from __future__ import annotations

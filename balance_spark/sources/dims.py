@@ -105,13 +105,27 @@ _COUNTRIES = (
 )
 
 
+def fixed_rows(spark: SparkSession, rows, names: str) -> DataFrame:
+    """A small table of plain values, as a relation whose size Spark knows.
+
+    A local list has no known size for the planner, so a join with it would shuffle the
+    other side, however large that is.
+    """
+
+    def literal(value):
+        if isinstance(value, str):
+            return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        return str(value).upper() if isinstance(value, bool) else str(value)
+
+    lines = ", ".join(f"({', '.join(map(literal, row))})" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {lines} AS t({names})")
+
+
 def countries(spark: SparkSession) -> DataFrame:
     """``state, name, iso_numeric, member`` for the states of the source tables."""
-    return spark.createDataFrame(
-        _COUNTRIES, "state string, name string, iso_numeric int, member boolean"
-    )
+    return fixed_rows(spark, _COUNTRIES, "state, name, iso_numeric, member")
 
 
 def labels(spark: SparkSession, mapping: dict[str, str]) -> DataFrame:
     """A ``code, label`` dimension from a plain mapping."""
-    return spark.createDataFrame(list(mapping.items()), "code string, label string")
+    return fixed_rows(spark, mapping.items(), "code, label")

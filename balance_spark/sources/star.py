@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from balance_spark.functions.numbers import year_start
+from balance_spark.sources.dims import fixed_rows
 from balance_spark.specs import AGGREGATE, CONSUMPTION, PRODUCTION, Measure
 
 MEMBER_REGION = "EUROPE"
@@ -41,20 +42,27 @@ TYPE_LABELS = {
     "SMALL": "Small goods",
     "STANDARD": "Standard goods",
 }
+#: Years that the wide tables have columns for.
+WIDE_YEARS = range(1992, 2008)
 #: From here on the derived observations count as forecasts.
 PREDICTED_FROM_MONTH = "2001-06-01"
 PREDICTED_YEAR = "2001-01-01"
 
 
-_schemas: dict[str, StructType] = {}
+_schemas: dict[tuple, StructType] = {}
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table; its schema is looked up once per path, not by a job for every reader."""
+    """A table; its schema is looked up once for each state of the path, not by a job for
+    every reader."""
     path = f"{folder}/{name}.parquet"
-    if path not in _schemas:
-        _schemas[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_schemas[path]).parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    status = files.getFileStatus(place)
+    key = (path, status.getModificationTime(), status.getLen())
+    if key not in _schemas:
+        _schemas[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[key]).parquet(path)
 
 
 def nations(spark: SparkSession, folder: str) -> DataFrame:
@@ -209,26 +217,39 @@ def flagged_consumption(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _as_wide(table: DataFrame, key: dict[str, Column], value: str, fmt: str) -> DataFrame:
-    """A tidy table in the wide text layout: composite key, one column per period.
+def _periods(fmt: str) -> list[str]:
+    months = [f"-{m:02d}" for m in range(1, 13)] if fmt == "yyyy-MM" else [""]
+    return [f"{year}{month}" for year in WIDE_YEARS for month in months]
+
 
-    Each cell gets a flag in every third period; periods without a row read ``:``.
+def _cells(table: DataFrame, key: dict[str, Column], value: str, fmt: str) -> DataFrame:
+    """``key, period, cell``: the composite key and the text of each cell.
+
+    Each cell gets a flag in every third period.  A row outside ``WIDE_YEARS`` is an error,
+    not a lost cell.
     """
-    first, last = table.agg(F.min("date"), F.max("date")).first()
-    step = 1 if fmt == "yyyy-MM" else 12
-    months = range(first.year * 12 + first.month - 1, last.year * 12 + last.month, step)
-    periods = [
-        f"{m // 12}-{m % 12 + 1:02d}" if step == 1 else str(m // 12) for m in months
-    ]
     flag = F.when((F.year("date") + F.month("date")) % 3 == 0, " p").otherwise("")
-    header = ",".join(key) + "\\TIME_PERIOD"
-    cells = table.select(
+    outside = F.concat(F.lit("no column for "), F.col("date").cast("string"))
+    dated = F.when(
+        F.year("date").between(WIDE_YEARS[0], WIDE_YEARS[-1]), F.date_format("date", fmt)
+    ).otherwise(F.raise_error(outside))
+    return table.select(
         F.concat_ws(",", *key.values()).alias("key"),
-        F.date_format("date", fmt).alias("period"),
+        dated.alias("period"),
         F.concat(F.col(value).cast("decimal(38,2)").cast("string"), flag).alias("cell"),
     )
+
+
+def _as_wide(table: DataFrame, key: dict[str, Column], value: str, fmt: str) -> DataFrame:
+    """A tidy table in the wide text layout: composite key, one column per period.
+
+    The header has every period of ``WIDE_YEARS``; periods without a row read ``:``.
+    """
+    periods = _periods(fmt)
+    header = ",".join(key) + "\\TIME_PERIOD"
     return (
-        cells.groupBy("key")
+        _cells(table, key, value, fmt)
+        .groupBy("key")
         .pivot("period", periods)
         .agg(F.first("cell"))
         .select(
@@ -238,14 +259,34 @@ def _as_wide(table: DataFrame, key: dict[str, Column], value: str, fmt: str) ->
     )
 
 
+def production_lines(
+    spark: SparkSession, folder: str, file: str, chosen: DataFrame, first: str
+) -> DataFrame:
+    """``file, value``: the wide production text of some states from period ``first`` on."""
+    periods = [p for p in _periods("yyyy-MM") if p >= first]
+    rows = supply(spark, folder).join(chosen.select("state"), "state", "left_semi")
+    listed = (
+        _cells(rows, _production_key(), "energy_prod", "yyyy-MM")
+        .groupBy("key")
+        .agg(F.map_from_entries(F.collect_list(F.struct("period", "cell"))).alias("cells"))
+    )
+    # One lookup for each period, as a function: as columns they are too much for a method.
+    cells = F.transform(
+        F.array(*[F.lit(p) for p in periods]),
+        lambda p: F.coalesce(F.col("cells")[p], F.lit(": ")),
+    )
+    header = "\t".join([",".join(_production_key()) + "\\TIME_PERIOD", *periods])
+    return listed.select(
+        F.lit(file).alias("file"), F.concat_ws("\t", F.col("key"), cells).alias("value")
+    ).unionByName(fixed_rows(spark, [(file, header)], "file, value"))
+
+
+def _production_key() -> dict[str, Column]:
+    return {"freq": F.lit("M"), "siec": F.col("siec"), "unit": F.lit("GWH"), "geo": F.col("state")}
+
+
 def wide_production(spark: SparkSession, folder: str) -> DataFrame:
-    key = {
-        "freq": F.lit("M"),
-        "siec": F.col("siec"),
-        "unit": F.lit("GWH"),
-        "geo": F.col("state"),
-    }
-    return _as_wide(supply(spark, folder), key, "energy_prod", "yyyy-MM")
+    return _as_wide(supply(spark, folder), _production_key(), "energy_prod", "yyyy-MM")
 
 
 def wide_consumption(spark: SparkSession, folder: str) -> DataFrame:

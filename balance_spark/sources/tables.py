@@ -1,9 +1,7 @@
-"""Tidy tables on disk, and cutting the lineage of expensive ones."""
+"""Tidy tables on disk."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -20,16 +18,3 @@ def write_tidy(table: DataFrame, path: str, category: str) -> None:
 
 def read_tidy(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
-
-
-def settled(table: DataFrame) -> DataFrame:
-    """The same rows, computed once and kept in the shared checkpoint folder.
-
-    The cluster names that folder in ``spark.checkpoint.dir``; only where it names
-    none (a test on one machine) a temporary one is used.
-    """
-    spark = table.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="balance-"))
-    return table.checkpoint()

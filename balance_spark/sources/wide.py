@@ -39,10 +39,11 @@ CONSUMPTION_SOURCE = WideSource(
 def read_wide(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
     """Read tab-separated text, every column a string, nothing inferred.
 
+    All files must have one header; another one is an error (``tidy_files`` takes any).
     A gzip file cannot be split, so its rows are spread over the cluster before the
     melt multiplies them; give ``partitions`` to choose how widely.
     """
-    table = spark.read.csv(path, sep="\t", header=True, inferSchema=False, quote="")
+    table = spark.read.csv(path, sep="\t", header=True, inferSchema=False, quote="", enforceSchema=False)
     if partitions is None and path.endswith(".gz"):
         partitions = spark.sparkContext.defaultParallelism
     return table.repartition(partitions) if partitions else table
@@ -83,9 +84,72 @@ def melt(wide: DataFrame, source: WideSource) -> DataFrame:
     )
 
 
+def melt_lines(lines: DataFrame, source: WideSource) -> DataFrame:
+    """``melt`` of text ``lines (file, value)`` whose files may each have other periods.
+
+    A header is the line whose first field names the key's parts (it holds a backslash); it
+    is joined to the lines of its file, so every cell keeps the period above it.  A line with
+    more cells than its header is an error; one with fewer has no cells there.
+    """
+    fields = F.split("value", "\t")
+    is_header = F.instr(fields[0], "\\") > 0
+    headers = lines.filter(is_header).select(
+        "file",
+        F.transform(
+            F.split(F.substring_index(fields[0], "\\", 1), ","),
+            lambda part: F.when(part == "geo", "state").otherwise(part),
+        ).alias("parts"),
+        F.slice(fields, 2, F.size(fields)).alias("periods"),
+    )
+    rows = lines.filter(~is_header & (F.trim("value") != "")).select(
+        "file",
+        F.split(fields[0], ",").alias("key"),
+        F.slice(fields, 2, F.size(fields)).alias("cells"),
+    )
+    excess = F.concat(F.lit("more cells than periods in "), F.col("file"))
+    names = ["state", *source.keep]
+    keyed = (
+        rows.join(headers, "file")
+        .withColumn("part", F.map_from_arrays("parts", "key"))
+        .withColumn(
+            "cells",
+            F.when(F.size("cells") <= F.size("periods"), F.col("cells")).otherwise(
+                F.raise_error(excess)
+            ),
+        )
+        .select(*[F.col("part")[name].alias(name) for name in names], "periods", "cells")
+    )
+    for part, codes in source.keep.items():
+        keyed = keyed.filter(F.col(part).isin(*codes))
+    if source.drop_states:
+        keyed = keyed.filter(~F.col("state").isin(*source.drop_states))
+    return keyed.select(*names, F.explode(F.arrays_zip("periods", "cells")).alias("cell")).select(
+        *names,
+        period_start(F.col("cell.periods"), source.period, source.lenient_period).alias("date"),
+        F.col("cell.cells").alias("raw"),
+    )
+
+
+def tidy_lines(lines: DataFrame, source: WideSource, with_flag: bool = False) -> DataFrame:
+    """Text ``lines (file, value)`` to a tidy table."""
+    return _tidy(melt_lines(lines, source), source, with_flag)
+
+
+def tidy_files(
+    spark: SparkSession, path: str, source: WideSource, with_flag: bool = False
+) -> DataFrame:
+    """Tab-separated files to a tidy table; every file is read under its own header."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    return tidy_lines(lines, source, with_flag)
+
+
 def tidy(wide: DataFrame, source: WideSource, with_flag: bool = False) -> DataFrame:
     """Wide table to tidy table: ``[category,] state, date, <value> [, unique_id]``."""
-    cells = melt(wide, source).filter(~is_missing(F.col("raw")))
+    return _tidy(melt(wide, source), source, with_flag)
+
+
+def _tidy(melted: DataFrame, source: WideSource, with_flag: bool) -> DataFrame:
+    cells = melted.filter(F.col("raw").isNotNull() & ~is_missing(F.col("raw")))
     parsed = cells.select(
         *([F.col(source.category)] if source.category else []),
         state_code(F.col("state")).alias("state"),

@@ -10,11 +10,18 @@ from balance_spark.sources.star import (
     MEMBERS,
     PREDICTED_FROM_MONTH,
     PREDICTED_YEAR,
+    PRODUCT_TYPES,
     SEGMENT_LABELS,
     SEGMENTS,
     TYPE_LABELS,
 )
-from balance_spark.verify.queries import FORECAST_MONTH, SINCE, SOME_PARTS, YEAR
+from balance_spark.verify.queries import (
+    DEFAULT_STATES,
+    FORECAST_MONTH,
+    SINCE,
+    SOME_PARTS,
+    YEAR,
+)
 
 AGG = "EU27_2020"
 WIDTH = 1.959964  # half width of a 95% interval in standard errors
@@ -269,15 +276,15 @@ def stacked(where: str) -> str:
                predicted,
                CAST(SUM(trunc(energy_prod)) OVER (PARTITION BY state, date ORDER BY siec)
                     AS BIGINT) AS stacked_to
-        FROM flagged_production WHERE siec IN {_in(SOME_PARTS)} AND {where}"""
+        FROM flagged_production WHERE siec IN {_in(PRODUCT_TYPES)} AND {where}"""
 
 
-def completeness(keys: str, where: str, table: str = "annual_production") -> str:
+def completeness(keys: str, where: str, parts=SOME_PARTS) -> str:
     return f"""
         SELECT {keys}, total, parts, (total - parts) / total * 100 AS missing_percentage
         FROM (SELECT {keys}, SUM(CASE WHEN siec = 'TOTAL' THEN energy_prod END) AS total,
-                     SUM(CASE WHEN siec IN {_in(SOME_PARTS)} THEN energy_prod ELSE 0 END) AS parts
-              FROM {table} WHERE {where} GROUP BY {keys}) AS t
+                     SUM(CASE WHEN siec IN {_in(parts)} THEN energy_prod ELSE 0 END) AS parts
+              FROM annual_production WHERE {where} GROUP BY {keys}) AS t
         WHERE parts < total * 0.95"""
 
 
@@ -313,7 +320,7 @@ SECTOR_SHARE = share(
     "annual_consumption", "energy_cons", "nrg_bal", "segment_label", "t.nrg_bal <> 'FC'", 2
 )
 PRODUCT_MIX = share(
-    "annual_production", "energy_prod", "siec", "type_label", f"t.siec IN {_in(SOME_PARTS)}", 3
+    "annual_production", "energy_prod", "siec", "type_label", f"t.siec IN {_in(PRODUCT_TYPES)}", 3
 )
 
 HEADS = """
@@ -387,9 +394,10 @@ REPORT_PRODUCTION = sql(
                            f" WHERE state = '{AGG}' AND date = DATE '{YEAR}'",
                     "state", "label", "date", "percentage"),
             section("missing", completeness(
-                "state, date", f"state = '{AGG}' AND date = DATE '{YEAR}'"),
+                "state, date", f"state = '{AGG}' AND date = DATE '{YEAR}'", PRODUCT_TYPES),
                     "state", date="date", value="missing_percentage"),
-            section("missing_all_years", completeness("state", f"state = '{AGG}' AND {RECENT}"),
+            section("missing_all_years", completeness(
+                "state", f"state = '{AGG}' AND {RECENT}", PRODUCT_TYPES),
                     "state", value="missing_percentage"),
         ]
     ),
@@ -459,8 +467,8 @@ ORACLES = {
                   CAST(0 AS BIGINT) AS unreadable
            FROM months m CROSS JOIN keys k LEFT JOIN supply s ON s.date = m.date
            GROUP BY m.date""",
-        months="""SELECT CAST(UNNEST(generate_series(MIN(date)::TIMESTAMP, MAX(date)::TIMESTAMP,
-                         INTERVAL 1 MONTH)) AS DATE) AS date FROM supply""",
+        months="""SELECT CAST(UNNEST(generate_series(TIMESTAMP '1992-01-01', TIMESTAMP '2007-12-01',
+                         INTERVAL 1 MONTH)) AS DATE) AS date""",
         keys="SELECT COUNT(*) AS n FROM (SELECT DISTINCT state, siec FROM supply) AS t",
     ),
     "balance": sql("SELECT * FROM yearly_balance"),
@@ -566,8 +574,33 @@ ORACLES = {
     ),
     "population": sql("SELECT state, date, round(population, 6) AS population FROM people"),
     "forecast_span": sql(
-        """SELECT MIN(CASE WHEN predicted THEN date END) AS start, MAX(date) AS "end"
-           FROM flagged_production"""
+        """SELECT MIN(date) AS start, MAX(date) AS "end" FROM flagged_production WHERE predicted"""
+    ),
+    "forecast_span_from": sql(
+        f"""SELECT DATE '{YEAR}' AS start, MAX(date) AS "end" FROM flagged_production"""
+    ),
+    "state_code": sql(
+        f"""SELECT DISTINCT COALESCE(c.name, p.state) AS name, p.state
+            FROM production p LEFT JOIN country c ON p.state = c.state"""
+    ),
+    "default_states": sql(
+        f"""SELECT p.* FROM production p JOIN country c ON p.state = c.state
+            WHERE c.name IN {_in(DEFAULT_STATES)}"""
+    ),
+    "tidy_text": sql(
+        """SELECT siec, state, date, energy_prod,
+                  CASE WHEN (year(date) + month(date)) % 3 = 0 THEN 'p' END AS flag,
+                  state || ';' || siec AS unique_id
+           FROM supply JOIN country USING (state)
+           WHERE energy_prod > 0 AND (iso_numeric % 2 = 1 OR year(date) >= 1998)"""
+    ),
+    "upsample_daily": sql(
+        "SELECT unique_id, ds, round(y, 6) AS y FROM grid",
+        daily="""SELECT n_name AS unique_id, CAST(date_trunc('month', o_orderdate) AS DATE) AS ds,
+                        AVG(CAST(o_totalprice AS DOUBLE)) AS y
+                 FROM orders JOIN customer ON o_custkey = c_custkey
+                      JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2""",
+        **grid("daily", 1),
     ),
     "map_table": sql(
         f"""SELECT s.id, v.state, v.deficit

@@ -22,7 +22,7 @@ from balance_spark.operators.forecast import (
     forecast_state,
     with_forecast,
 )
-from balance_spark.operators.members import member_count, member_filter
+from balance_spark.operators.members import member_count, member_filter, only_states
 from balance_spark.plans.reports import (
     balance_report,
     consumption_report,
@@ -30,8 +30,7 @@ from balance_spark.plans.reports import (
     yearly_balance,
 )
 from balance_spark.sources import star, wide
-from balance_spark.sources.dims import labels
-from balance_spark.sources.tables import settled
+from balance_spark.sources.dims import fixed_rows, labels
 from balance_spark.specs import (
     AGGREGATE,
     BALANCE,
@@ -44,6 +43,7 @@ from balance_spark.specs import (
 YEAR = "2000-01-01"
 SINCE = "1997-01-01"
 FORECAST_MONTH = "2001-07-01"
+DEFAULT_STATES = ("NATION 1", "NATION 7", "NATION 13", "NATION 20")
 #: Parts that do not explain the whole total.
 SOME_PARTS = star.PRODUCT_TYPES[:-1]
 
@@ -269,6 +269,51 @@ def forecast_span(spark, folder):
     return lines.forecast_span(star.flagged_production(spark, folder))
 
 
+def forecast_span_from(spark, folder):
+    return lines.forecast_span(star.flagged_production(spark, folder), YEAR)
+
+
+def state_code(spark, folder):
+    countries = star.nations(spark, folder)
+    names = catalogs.state_catalog(star.production(spark, folder), countries).select("name")
+    return catalogs.state_code_of(names, countries)
+
+
+def default_states(spark, folder):
+    """Rows of a fixed selection of states, given by their names."""
+    chosen = ranking.default_states(star.nations(spark, folder), DEFAULT_STATES)
+    return only_states(star.production(spark, folder), chosen)
+
+
+def tidy_text(spark, folder):
+    """Tab-separated lines of two files with different periods, read as files are."""
+    countries = star.nations(spark, folder)
+    files = [
+        star.production_lines(
+            spark, folder, file, countries.filter(F.col("iso_numeric") % 2 == odd), first
+        )
+        for file, odd, first in (("a.tsv", 1, "1992"), ("b.tsv", 0, "1998"))
+    ]
+    return wide.tidy_lines(_stack(files), PRODUCTION_SOURCE, with_flag=True)
+
+
+def upsample_daily(spark, folder):
+    """Order values of every day, averaged per month and put on the monthly grid."""
+    orders, customer = star.read(spark, folder, "orders"), star.read(spark, folder, "customer")
+    nation = star.read(spark, folder, "nation")
+    daily = (
+        orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+        .select(
+            F.col("n_name").alias("unique_id"),
+            F.col("o_orderdate").cast("date").alias("date"),
+            F.col("o_totalprice").cast("double").alias("price"),
+        )
+    )
+    points = resample.one_per_date(daily, replace(PRODUCTION, value="price"))
+    return rounded(resample.upsample(points, 1))
+
+
 def _map_values(spark, folder):
     countries = star.nations(spark, folder)
     yearly = member_filter(_balance(spark, folder), countries)
@@ -341,7 +386,7 @@ def lines_balance(spark, folder):
 
 def stacked_area(spark, folder):
     return lines.stacked_area(
-        star.flagged_production(spark, folder), PRODUCTION, SOME_PARTS, after=SINCE
+        star.flagged_production(spark, folder), PRODUCTION, star.PRODUCT_TYPES, after=SINCE
     )
 
 
@@ -349,7 +394,7 @@ def stacked_area_inclusive(spark, folder):
     return lines.stacked_area(
         star.flagged_production(spark, folder),
         PRODUCTION,
-        SOME_PARTS,
+        star.PRODUCT_TYPES,
         states=AGGREGATE,
         after=SINCE,
         inclusive=True,
@@ -409,7 +454,7 @@ def product_mix(spark, folder):
             _annual_production(spark, folder),
             PRODUCTION,
             labels(spark, star.TYPE_LABELS),
-            SOME_PARTS,
+            star.PRODUCT_TYPES,
         )
     )
 
@@ -494,8 +539,8 @@ CONSUMPTION_LAYOUT = {
 
 def report_balance(spark, folder):
     report = balance_report(
-        settled(star.flagged_production(spark, folder)),
-        settled(star.flagged_consumption(spark, folder)),
+        star.flagged_production(spark, folder),
+        star.flagged_consumption(spark, folder),
         star.nations(spark, folder),
         YEAR,
     )
@@ -504,14 +549,14 @@ def report_balance(spark, folder):
 
 def report_production(spark, folder):
     report = production_report(
-        settled(star.flagged_production(spark, folder)),
+        star.flagged_production(spark, folder),
         star.nations(spark, folder),
         labels(spark, star.TYPE_LABELS),
         category=PRODUCTION.total,
         state=AGGREGATE,
         date=YEAR,
-        macro_parts=SOME_PARTS,
-        parts=SOME_PARTS,
+        macro_parts=star.PRODUCT_TYPES,
+        parts=star.PRODUCT_TYPES,
         since=SINCE,
     )
     return sections(report, PRODUCTION_LAYOUT)
@@ -520,8 +565,8 @@ def report_production(spark, folder):
 def report_consumption(spark, folder):
     sector_names = labels(spark, star.SEGMENT_LABELS)
     report = consumption_report(
-        settled(star.flagged_consumption(spark, folder)),
-        settled(_population(spark, folder)),
+        star.flagged_consumption(spark, folder),
+        _population(spark, folder),
         star.nations(spark, folder),
         sector_names,
         sector_names,
@@ -570,6 +615,11 @@ QUERIES = {
     "clip_nonnegative": clipped,
     "population": population_mean,
     "forecast_span": forecast_span,
+    "forecast_span_from": forecast_span_from,
+    "state_code": state_code,
+    "default_states": default_states,
+    "tidy_text": tidy_text,
+    "upsample_daily": upsample_daily,
     "map_table": map_table,
     "map_domain": map_domain,
     "lines_production": lines_production,

@@ -125,3 +125,13 @@ def test_measure_rejects_unknown_rollup():
     except ValueError:
         return
     raise AssertionError("no error")
+
+
+def test_unsaid_predicted_counts_as_actual(spark, rows):
+    table = spark.createDataFrame(
+        [("DE", "DE;TOTAL", "TOTAL", "2020-01-01", 5.0, None), ("DE", "DE;TOTAL", "TOTAL", "2020-02-01", 2.0, True)],
+        "state string, unique_id string, siec string, date string, energy_prod double, predicted boolean",
+    ).withColumn("date", F.col("date").cast("date"))
+    for collapse, flags in ((False, [False, True]), (True, [True])):
+        got = rows(annual(table, PRODUCTION, collapse=collapse), "energy_prod", "predicted")
+        assert got == [(7.0, flag) for flag in flags]

@@ -4,7 +4,7 @@ from balance_spark.operators.forecast import with_forecast
 from balance_spark.operators.members import member_filter
 from balance_spark.plans.reports import balance_report
 from balance_spark.sources import dims, wide
-from balance_spark.sources.tables import read_tidy, settled, write_tidy
+from balance_spark.sources.tables import read_tidy, write_tidy
 from balance_spark.specs import (
     CONSUMPTION,
     CONSUMPTION_FORECAST,
@@ -51,8 +51,8 @@ def test_files_to_report(spark, rows, tmp_path):
     produced = member_filter(read_tidy(spark, str(tmp_path / "production")), countries)
     consumed = member_filter(read_tidy(spark, str(tmp_path / "consumption")), countries)
     report = balance_report(
-        settled(with_forecast(produced, PRODUCTION, PRODUCTION_FORECAST)),
-        settled(with_forecast(consumed, CONSUMPTION, CONSUMPTION_FORECAST)),
+        with_forecast(produced, PRODUCTION, PRODUCTION_FORECAST),
+        with_forecast(consumed, CONSUMPTION, CONSUMPTION_FORECAST),
         countries,
         "2022-01-01",
     )

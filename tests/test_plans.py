@@ -115,3 +115,33 @@ def test_hot_keys_are_split(spark, skewed):
     ):
         plan = executed(star.supply(spark, skewed))
     assert "skew=true" in plan, plan
+
+
+def test_small_dimensions_do_not_shuffle_a_table(spark, tmp_path):
+    """With default settings fixed rows are measured, so the table stays where it is."""
+    from balance_spark.operators.members import member_filter
+
+    path = str(tmp_path / "tidy")
+    spark.range(100).selectExpr("'DE' AS state", "id AS energy_prod").write.parquet(path)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        plan = member_filter(spark.read.parquet(path), dims.countries(spark))
+        text = plan._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert "BroadcastHashJoin" in text and "hashpartitioning" not in text
+    assert plan.count() == 100
+
+
+def test_no_job_runs_while_queries_are_built(spark):
+    folder = "/root/testdata/sf0.001"
+    for name in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"):
+        star.read(spark, folder, name)
+    spark.sparkContext.setJobGroup("building", "plans only")
+    try:
+        for name in sorted(QUERIES):
+            QUERIES[name](spark, folder)
+            assert not spark.sparkContext.statusTracker().getJobIdsForGroup("building"), name
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

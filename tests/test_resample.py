@@ -2,6 +2,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
+from balance_spark.operators import resample
 from balance_spark.operators.resample import (
     date_grid,
     forward_fill,
@@ -74,3 +75,16 @@ def test_grid_and_lines_share_one_shuffle(spark):
     plan = forward_fill(interpolate(date_grid(table, 2)))
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert text.count("Exchange hashpartitioning") == 1, text
+
+
+def test_two_dates_of_one_month(spark, rows):
+    table = spark.createDataFrame(
+        [("a", "2020-01-01", 1.0), ("a", "2020-01-15", 3.0), ("a", "2020-03-20", 6.0)],
+        "unique_id string, date string, energy_prod double",
+    ).withColumn("date", F.col("date").cast("date"))
+    points = resample.one_per_date(table, PRODUCTION)
+    got = [(str(d), y) for d, y in rows(resample.upsample(points, 1), "ds", "y")]
+    assert sorted(got) == [("2020-01-01", 2.0), ("2020-02-01", 4.0), ("2020-03-01", 6.0)]
+    raw = table.select("unique_id", F.col("date").alias("ds"), F.col("energy_prod").alias("y"))
+    assert min(str(d) for (d,) in rows(resample.date_grid(raw, 1), "ds")) == "2020-01-01"
+    assert resample.upsample(raw, 1).count() >= 3

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from balance_spark.functions.cells import cell_flag, cell_value, is_missing
 from balance_spark.sources import wide
-from balance_spark.sources.tables import read_tidy, settled, write_tidy
+from balance_spark.sources.tables import read_tidy, write_tidy
 
 PRODUCTION_TEXT = (
     "freq,siec,unit,geo\\TIME_PERIOD\t2020-01 \t2020-02 \t2020-03 \n"
@@ -152,4 +152,29 @@ def test_written_table_is_pruned_by_category(spark, rows, tmp_path):
     assert rows(back, *table.columns) == EXPECTED
     chosen = back.filter(F.col("siec") == "CF")
     assert "PartitionFilters: [isnotnull(siec" in chosen._jdf.queryExecution().toString()
-    assert rows(settled(chosen), "state") == [("DE",)]
+    assert rows(chosen, "state") == [("DE",)]
+
+
+def test_files_with_different_periods(spark, rows, tmp_path):
+    head = "freq,siec,unit,geo\\TIME_PERIOD"
+    (tmp_path / "a.tsv").write_text(f"{head}\t2020-01\t2020-02\nM,CF,GWH,DE\t1.0\t2.0 p\n")
+    (tmp_path / "b.tsv").write_text(
+        "siec,freq,geo,unit\\TIME_PERIOD\t2020-02\t2020-03\t2020-04\n"
+        "CF,M,EL,GWH\t3.0\t:\t4.0\n\nCF,M,FR,GWH\t5.0\n"
+    )
+    table = wide.tidy_files(spark, f"{tmp_path}/*.tsv", wide.PRODUCTION_SOURCE)
+    got = [(s, str(d), v) for s, d, v in rows(table, "state", "date", "energy_prod")]
+    assert sorted(got) == [
+        ("DE", "2020-01-01", 1.0), ("DE", "2020-02-01", 2.0), ("FR", "2020-02-01", 5.0),
+        ("GR", "2020-02-01", 3.0), ("GR", "2020-04-01", 4.0),
+    ]
+    (tmp_path / "c.tsv").write_text(f"{head}\t2020-01\nM,CF,GWH,IT\t1.0\t2.0\n")
+    with pytest.raises(Exception, match="more cells than periods"):
+        wide.tidy_files(spark, f"{tmp_path}/*.tsv", wide.PRODUCTION_SOURCE).collect()
+
+
+def test_one_header_is_demanded(spark, tmp_path):
+    for name, period in (("a", "2020-01"), ("b", "2020-02")):
+        (tmp_path / f"{name}.tsv").write_text(f"siec,geo\\TIME_PERIOD\t{period}\nCF,DE\t1.0\n")
+    with pytest.raises(Exception):
+        wide.read_wide(spark, f"{tmp_path}/*.tsv").collect()
