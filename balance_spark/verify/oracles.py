@@ -485,7 +485,17 @@ ORACLES = {
     ),
     "annual_sum_collapsed": sql("SELECT * FROM annual_production"),
     "annual_mean": sql(
-        "SELECT state, unique_id, nrg_bal, date, energy_cons, predicted FROM flagged_consumption"
+        """SELECT state, unique_id, nrg_bal, date, predicted,
+                  round(AVG(v) OVER (PARTITION BY unique_id, date), 3) AS energy_cons
+           FROM (SELECT state, unique_id, nrg_bal, predicted,
+                        CAST(date_trunc('year', date) AS DATE) AS date, AVG(energy_cons) AS v
+                 FROM several GROUP BY 1, 2, 3, 4, 5) AS t""",
+        several="""
+            SELECT state, unique_id, nrg_bal, date, energy_cons, predicted FROM flagged_consumption
+            UNION ALL SELECT state, unique_id, nrg_bal, date + INTERVAL 4 MONTH, energy_cons * 3,
+                             TRUE FROM flagged_consumption
+            UNION ALL SELECT state, unique_id, nrg_bal, date + INTERVAL 8 MONTH, energy_cons * 5,
+                             TRUE FROM flagged_consumption""",
     ),
     "annual_mean_mixed": sql(
         """SELECT state, unique_id, siec, date, predicted,
@@ -650,7 +660,10 @@ ORACLES = {
     "single_total": sql(
         """SELECT state, date, CAST(MIN(trunc(energy_cons)) AS BIGINT) AS total,
                   COUNT(DISTINCT trunc(energy_cons)) = 1 AS "unique"
-           FROM consumption WHERE nrg_bal = 'FC' GROUP BY state, date"""
+           FROM (SELECT * FROM consumption UNION ALL
+                 SELECT nrg_bal, state, date, energy_cons + 7, unique_id FROM consumption
+                 WHERE year(date) % 2 = 0) AS t
+           WHERE nrg_bal = 'FC' GROUP BY state, date"""
     ),
     "top5_rank_by_year": sql(TOP_RANK),
     "balance_ranking": sql(RANKING),

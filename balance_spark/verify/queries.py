@@ -127,7 +127,19 @@ def annual_sum(spark, folder):
 
 
 def annual_mean(spark, folder):
-    return annual(star.flagged_consumption(spark, folder), CONSUMPTION)
+    """Years with several rows: the observed one and two forecasts."""
+    table = star.flagged_consumption(spark, folder)
+    later = [
+        table.withColumns(
+            {
+                "date": F.add_months("date", months),
+                "energy_cons": F.col("energy_cons") * times,
+                "predicted": F.lit(True),
+            }
+        )
+        for months, times in ((4, 3), (8, 5))
+    ]
+    return rounded(annual(_stack([table, *later]), CONSUMPTION), 3)
 
 
 def annual_mean_mixed(spark, folder):
@@ -385,9 +397,10 @@ def lines_balance(spark, folder):
 
 
 def stacked_area(spark, folder):
-    return lines.stacked_area(
-        star.flagged_production(spark, folder), PRODUCTION, star.PRODUCT_TYPES, after=SINCE
-    )
+    """With rows that are there twice, which count once."""
+    table = star.flagged_production(spark, folder)
+    table = table.unionByName(table.filter(F.month("date") == 3))
+    return lines.stacked_area(table, PRODUCTION, star.PRODUCT_TYPES, after=SINCE)
 
 
 def stacked_area_inclusive(spark, folder):
@@ -422,7 +435,12 @@ def distinct_total(spark, folder):
 
 
 def single_total(spark, folder):
-    return shares.single_total(star.consumption(spark, folder), CONSUMPTION)
+    """With a second total in every other year."""
+    table = star.consumption(spark, folder)
+    second = table.filter(F.year("date") % 2 == 0).withColumn(
+        "energy_cons", F.col("energy_cons") + 7
+    )
+    return shares.single_total(table.unionByName(second), CONSUMPTION)
 
 
 def top5_rank_by_year(spark, folder):
