@@ -8,8 +8,8 @@ from balance_spark.llm.linededup import OP6_SQL, op6_lines
 from balance_spark.llm.packing import op4_packing
 from balance_spark.llm.quality import OP3_SQL, op3_quality
 from balance_spark.llm.simhash import op5_simhash
-from balance_spark.llm.tokenpack import op7_tokens
 from balance_spark.llm.suffixes import OP2_SQL, op2_suffixes
+from balance_spark.llm.tokenpack import op7_tokens
 from balance_spark.llm.toxicity import op1_toxicity
 from balance_spark.llm.warc import OP8_SQL, op8_warc
 
@@ -25,4 +25,10 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_chat": op10_chat,
 }
-ORACLES = {"op2_suffixes": OP2_SQL, "op3_quality": OP3_SQL, "op6_lines": OP6_SQL, "op8_warc": OP8_SQL, "op10_chat": OP10_SQL}
+ORACLES = {
+    "op2_suffixes": OP2_SQL,
+    "op3_quality": OP3_SQL,
+    "op6_lines": OP6_SQL,
+    "op8_warc": OP8_SQL,
+    "op10_chat": OP10_SQL,
+}

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -57,7 +57,7 @@ def minimisers(codes, first, min_words):
 def _portions(column, most=4 << 20):
     """Rows of a few MB of text at a time, or one longer text."""
     sizes = np.array(
-        [0 if n is None else n for n in pa.compute.binary_length(column).to_pylist()], np.int64
+        [0 if n is None else n for n in pc.binary_length(column).to_pylist()], np.int64
     )
     at, size = 0, 0
     for k, n in enumerate(sizes.tolist()):

@@ -75,8 +75,10 @@ def test_edges(spark, documents, clashing):
         "item_id long, text string",
     )
     docs = documents((1, None), (2, ""), (3, "ONE, two three; four five."), (3, "solo"), (None, "solo"), (4, "one two three four"))
-    got = sorted(((r["doc_id"], r["item_id"], r["distance"]) for r in decontam.contaminations(docs, bench).collect()), key=repr)
-    assert got == sorted([(3, 1, 0), (3, 2, 0), (3, None, 0), (None, None, 0), (4, 1, 1), (4, 2, 1)], key=repr) or got == sorted([(3, 1, 0), (3, 2, 0), (3, None, 0), (None, None, 0)], key=repr)
+    found = decontam.contaminations(docs, bench).collect()
+    got = {(r["doc_id"], r["item_id"], r["distance"]) for r in found}
+    exact = {(3, 1, 0), (3, 2, 0), (3, None, 0), (None, None, 0)}
+    assert exact <= got <= exact | {(4, 1, 1), (4, 2, 1)}  # one edit is found by chance
     left = decontam.without_contaminated(clashing(docs), bench)
     assert left.columns == clashing(docs).columns
     assert {1, 2} <= {r["doc_id"] for r in left.collect()} <= {1, 2, 4}

@@ -3,7 +3,6 @@ import random
 import numpy as np
 import pyarrow.fs as pafs
 import pytest
-import tiktoken
 
 from balance_spark.llm import tokenpack
 from balance_spark.llm.common import new_folder
