@@ -253,16 +253,16 @@ def judge(docs: DataFrame, labels: DataFrame, plan: RiskPlan = RiskPlan()) -> Da
 def keep_good(docs: DataFrame, labels: DataFrame, plan: RiskPlan = RiskPlan()) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with their columns as they are.
 
-    Texts are measured twice, for the cutoffs and for the verdict; that is cheaper than
-    shuffling them.
+    Texts are measured once; the verdict is joined to them by the number of the row.
     """
-    light = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
+    (row,) = fresh(docs, "_row")
+    number = F.monotonically_increasing_id().alias(row)
+    light = docs.select(number, F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     measured = durable(features(light).drop("text"))
-    cutoffs = _cutoffs_of(measured, labels, plan)
-    named = dict(zip(FEATURES, fresh(docs, *[f"_{f}" for f in FEATURES])))
-    (kept,) = fresh(docs, "_kept")
-    judged = _verdict(features(docs, **named), cutoffs, named, kept)
-    return judged.filter(F.col(kept)).select(*docs.columns)
+    named = {f: f for f in FEATURES}
+    judged = _verdict(measured, _cutoffs_of(measured, labels, plan), named, "kept")
+    kept = judged.filter("kept").select(row)
+    return docs.select("*", number).join(kept, row, "left_semi").drop(row)
 
 
 def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
