@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 from balance_spark.llm.common import BLANK_RUN, BLANKS, durable, fresh, partitions, words
 
 #: Words are counted in this many classes of hashes.
-CLASSES = 1 << 16
+CLASS_BITS = 16
+#: Lines that are looked up again are told apart in this many classes of hashes.
+WANTED = 1 << 20
 #: A rare word of more distinct lines than this is joined in two steps.
-HOT_LINES = 64
+HOT_LINES = 256
 LAST = (1 << 63) - 1
 _PLACE = ("doc", "line")
 _LINE = ("doc", "line", "hash")
@@ -36,19 +38,19 @@ def _lines(docs: DataFrame, min_words: int) -> DataFrame:
 
 
 def rarity_classes(docs: DataFrame) -> bytes:
-    """For every class of word hashes the logarithm of its number of words, as a digit.
+    """For every class of word hashes the logarithm of its number of words, as a byte.
 
     All words of all texts are counted; what comes to the driver has a fixed size.
     """
     found = docs.select(F.explode(words(F.col("text").cast("string"))).alias("word"))
     counts = (
-        found.groupBy(F.pmod(F.xxhash64("word"), F.lit(CLASSES)).alias("class"))
+        found.groupBy(F.shiftrightunsigned(F.xxhash64("word"), 64 - CLASS_BITS).alias("class"))
         .agg(F.floor(F.log2(F.count("*"))).cast("int").alias("size"))
         .collect()
     )
-    sizes = bytearray(b"0" * CLASSES)
+    sizes = bytearray(1 << CLASS_BITS)
     for row in counts:
-        sizes[row["class"]] = ord("0") + min(63, row["size"])
+        sizes[row["class"]] = row["size"]
     return bytes(sizes)
 
 
@@ -59,25 +61,34 @@ def _word_set(said: Column, classes: bytes) -> Column:
     (of other words the longer ones are rarer), then the hash itself.
     """
 
-    def number(word):
-        hashed = F.xxhash64(word)
-        kind = F.pmod(hashed, F.lit(CLASSES)).cast("int")
-        size = F.ascii(F.substr(F.lit(classes), kind + 1, F.lit(1)).cast("string")) - ord("0")
+    def hashed(word):
         short = F.lit(63) - F.least(F.length(word), F.lit(63))
-        rank = F.shiftleft((size * 64 + short).cast("long"), 51)
-        return F.coalesce(rank.bitwiseOR(F.shiftrightunsigned(hashed, 13)), F.lit(0).cast("long"))
+        return F.xxhash64(word).bitwiseAND(F.lit(-64)).bitwiseOR(short.cast("long"))
+
+    def number(word):
+        kind = F.shiftrightunsigned(word, 64 - CLASS_BITS).cast("int")
+        size = F.ascii(F.substr(F.lit(classes), kind + 1, F.lit(1)).cast("string")).cast("long")
+        rank = F.shiftleft(size * 64 + word.bitwiseAND(F.lit(63)), 50)
+        return rank.bitwiseOR(F.shiftrightunsigned(word, 14))
 
-    return F.sort_array(F.array_distinct(F.transform(words(said), number)))
+    # Hashes are told apart first, so that each word is looked up once a line.
+    found = F.array_distinct(F.transform(words(said), hashed))
+    return F.sort_array(F.transform(found, lambda w: F.coalesce(number(w), F.lit(0).cast("long"))))
 
 
 def _passes(s: str, t: str) -> Column:
-    """Length, position and bitmap filters for Jaccard >= 0.8; ``t`` is the earlier line."""
+    """Length, position and bitmap filters for Jaccard >= 0.8; ``t`` is the earlier line.
+
+    Bits that differ are words that only one of the lines has, at least.
+    """
+    differ = f"{s}.n + {t}.n - 2 * CAST(ceil(4 * ({s}.n + {t}.n) / 9) AS int)"
+    wide = " + ".join(f"bit_count({s}.wide[{k}] ^ {t}.wide[{k}])" for k in range(4))
     return F.expr(
         f"({t}.doc < {s}.doc OR {t}.doc = {s}.doc AND {t}.line < {s}.line) "
         f"AND 5 * least({s}.n, {t}.n) >= 4 * greatest({s}.n, {t}.n) "
         f"AND 9 * (1 + least({s}.n - {s}.at, {t}.n - {t}.at)) >= 4 * ({s}.n + {t}.n) "
-        f"AND bit_count({s}.bits ^ {t}.bits) <= "
-        f"{s}.n + {t}.n - 2 * CAST(ceil(4 * ({s}.n + {t}.n) / 9) AS int)"
+        f"AND bit_count({s}.bits ^ {t}.bits) <= {differ} "
+        f"AND ({s}.wide IS NULL OR {t}.wide IS NULL OR {wide} <= {differ})"
     )
 
 
@@ -88,23 +99,45 @@ def _pairs(joined: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose lines have a Jaccard similarity of at least 0.8, from their texts."""
-    ends = pairs.select(*_PLACE).unionByName(
-        pairs.select(*[F.col(f"first_{c}").alias(c) for c in _PLACE])
-    )
-    wanted = ends.groupBy("doc").agg(F.collect_set("line").alias("wanted"))
-    texts = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"),
-        F.col("text").cast("string").alias("text"),
+def _wanted_bits(pairs: DataFrame) -> bytes:
+    """A bit for every class of the hashes in ``pairs``; its size is fixed."""
+    hashes = pairs.select("hash").unionByName(pairs.select(F.col("first_hash").alias("hash")))
+    place = F.pmod("hash", F.lit(WANTED))
+    rows = (
+        hashes.groupBy(F.shiftright(place, 3).cast("int").alias("byte"))
+        .agg(
+            F.bit_or(
+                F.call_function("shiftleft", F.lit(1), place.bitwiseAND(F.lit(7)).cast("int"))
+            ).alias("bits")
+        )
+        .collect()
     )
+    bits = bytearray(WANTED // 8)
+    for row in rows:
+        bits[row["byte"]] = row["bits"]
+    return bits.hex().encode()
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, min_words: int) -> DataFrame:
+    """``(hash)`` of the lines in ``pairs`` that have a Jaccard similarity of 0.8 or more.
+
+    Of the texts only lines whose hash may be in a pair are shuffled.
+    """
+    bits = F.lit(_wanted_bits(pairs))
+    place = F.pmod("hash", F.lit(WANTED)).cast("int")
+    # Two hexadecimal digits a byte, the higher one first.
+    swapped = place.bitwiseXOR(F.lit(4))
+    digit = F.conv(F.substr(bits, F.shiftright(swapped, 2) + 1, F.lit(1)).cast("string"), 16, 10)
+    inside = F.call_function(
+        "shiftright", digit.cast("int"), place.bitwiseAND(F.lit(3))
+    ).bitwiseAND(F.lit(1))
     sets = (
-        texts.join(wanted, "doc")
-        .select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("line"))
-        .select(F.expr("get(lines, line)").alias("said"))
-        .select(F.xxhash64("said").alias("hash"), F.array_distinct(words(F.col("said"))).alias("set"))
+        _lines(docs, min_words)
+        .select(F.xxhash64("said").alias("hash"), "said")
+        .filter(inside == 1)
         .groupBy("hash")
-        .agg(F.first("set").alias("set"))
+        .agg(F.max("said").alias("said"))
+        .select("hash", F.array_distinct(words(F.col("said"))).alias("set"))
     )
     first = sets.select(F.col("hash").alias("first_hash"), F.col("set").alias("first_set"))
     both = pairs.join(sets, "hash").join(first, "first_hash")
@@ -115,7 +148,7 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _marks(docs: DataFrame, first: DataFrame, min_words: int) -> DataFrame:
-    """``(mark, doc, line, hash, n, at, bits)``: each line at each word of its prefix.
+    """``(mark, doc, line, hash, n, at, bits, wide)``: each line at each word of its prefix.
 
     A very frequent line is dealt out from its first place only; copies of others meet at
     their marks and are merged there.
@@ -126,11 +159,24 @@ def _marks(docs: DataFrame, first: DataFrame, min_words: int) -> DataFrame:
     )  # fewer than 10,000 rows
     classes = rarity_classes(docs)
     flip = F.call_function  # shiftleft() of the Python API takes no column
-    parity = F.aggregate(
-        "set",
-        F.lit(0).cast("long"),
-        lambda bits, word: bits.bitwiseXOR(
-            flip("shiftleft", F.lit(1).cast("long"), word.bitwiseAND(F.lit(63)).cast("int"))
+    zero = F.lit(0).cast("long")
+
+    def bit(word):
+        return flip("shiftleft", F.lit(1).cast("long"), word.bitwiseAND(F.lit(63)).cast("int"))
+
+    parity = F.aggregate("set", zero, lambda bits, word: bits.bitwiseXOR(bit(word)))
+    # Sixty-four bits tell long lines not apart; these have four times as many.
+    wide = F.when(
+        F.size("set") > 64,
+        F.transform(
+            F.sequence(F.lit(0), F.lit(3)),
+            lambda k: F.aggregate(
+                "set",
+                zero,
+                lambda bits, word: bits.bitwiseXOR(
+                    F.when(F.shiftright(word, 6).bitwiseAND(F.lit(3)) == k, bit(word)).otherwise(zero)
+                ),
+            ),
         ),
     )
     rows = (
@@ -140,7 +186,7 @@ def _marks(docs: DataFrame, first: DataFrame, min_words: int) -> DataFrame:
         .filter("own_doc IS NULL OR own_doc = doc AND own_line = line")
         .select(*_LINE, _word_set(F.col("said"), classes).alias("set"))
         .select(
-            *_LINE, F.size("set").alias("n"), parity.alias("bits"),
+            *_LINE, F.size("set").alias("n"), parity.alias("bits"), wide.alias("wide"),
             F.posexplode(F.expr("slice(set, 1, CAST(size(set) div 5 AS int) + 1)")).alias(
                 "at", "mark"
             ),
@@ -150,8 +196,8 @@ def _marks(docs: DataFrame, first: DataFrame, min_words: int) -> DataFrame:
     return (
         rows.repartition(partitions(docs.sparkSession), "mark")
         .groupBy("mark", "hash", "n", "at", "bits")
-        .agg(F.min(F.struct(*_PLACE)).alias("place"))
-        .select("mark", "hash", "place.doc", "place.line", "n", "at", "bits")
+        .agg(F.min(F.struct(*_PLACE)).alias("place"), F.first("wide").alias("wide"))
+        .select("mark", "hash", "place.doc", "place.line", "n", "at", "bits", "wide")
     )
 
 
@@ -172,21 +218,22 @@ def similar_earlier(docs: DataFrame, first: DataFrame, min_words: int) -> DataFr
     both = durable(found.unionByName(many, allowMissingColumns=True))
     found = both.filter("mark IS NULL").select(*found.columns)
     many = both.filter("mark IS NOT NULL").select(*many.columns)
-    done = durable(_verified(docs, found).distinct())
+    done = durable(_verified(docs, found, min_words).distinct())
     # Frequent words: lines that are done need no other, but others may be like them.
     left = many.join(done, "hash", "left_anti")
     kind = {"size": F.expr("n div 8"), "part": F.expr("bits & 255")}
     hubs = (
         many.withColumns(kind)
         .groupBy("mark", "size", "part")
-        .agg(F.min(F.struct("doc", "line", "hash", "n", "at", "bits")).alias("hub"))
+        .agg(F.min(F.struct("doc", "line", "hash", "n", "at", "bits", "wide")).alias("hub"))
         .select("mark", "size", "part", "hub.*")
     )
     tied = left.withColumns(kind).alias("s").join(hubs.alias("t"), ["mark", "size", "part"])
-    more = durable(_verified(docs, durable(_pairs(tied.filter(_passes("s", "t"))))).distinct())
+    tied = durable(_pairs(tied.filter(_passes("s", "t"))))
+    more = durable(_verified(docs, tied, min_words).distinct())
     rest = left.join(more, "hash", "left_anti")
     last = durable(_pairs(rest.alias("s").join(many.alias("t"), "mark").filter(_passes("s", "t"))))
-    return done.unionByName(more).unionByName(_verified(docs, last)).distinct()
+    return done.unionByName(more).unionByName(_verified(docs, last, min_words)).distinct()
 
 
 def removed_lines(docs: DataFrame, *, min_words: int = 3) -> DataFrame:

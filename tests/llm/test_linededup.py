@@ -22,7 +22,7 @@ def variants(rng, line, count):
     out = []
     for _ in range(count):
         copy = list(line)
-        for _ in range(rng.randrange(4)):
+        for _ in range(rng.randrange(1 + max(3, len(line) // 5))):
             copy[rng.randrange(len(copy))] = f"v{rng.randrange(10**6)}"
         out.append(" ".join(copy))
     return out
@@ -32,6 +32,7 @@ def test_matches_brute_force(documents, monkeypatch):
     monkeypatch.setattr(linededup, "HOT_LINES", 6)  # so that frequent words take two steps
     rng = random.Random(4)
     base = [[f"w{rng.randrange(300)}" for _ in range(rng.randrange(3, 25))] for _ in range(12)]
+    base += [[f"w{rng.randrange(900)}" for _ in range(n)] for n in (64, 80, 130)]
     pool = [v for line in base for v in variants(rng, line, 15)] + ["a b", "", "x y z", "z y x"]
     rows = [(d, "\n".join(rng.choice(pool) for _ in range(6))) for d in range(60)]
     got = linededup.removed_lines(documents(*rows)).collect()
