@@ -260,10 +260,10 @@ def _as_wide(table: DataFrame, key: dict[str, Column], value: str, fmt: str) ->
 
 
 def production_lines(
-    spark: SparkSession, folder: str, file: str, chosen: DataFrame, first: str
+    spark: SparkSession, folder: str, file: str, chosen: DataFrame, first: str, end: str = "9999"
 ) -> DataFrame:
-    """``file, value``: the wide production text of some states from period ``first`` on."""
-    periods = [p for p in _periods("yyyy-MM") if p >= first]
+    """``file, value``: the wide production text of some states, ``first <= period < end``."""
+    periods = [p for p in _periods("yyyy-MM") if first <= p < end]
     rows = supply(spark, folder).join(chosen.select("state"), "state", "left_semi")
     listed = (
         _cells(rows, _production_key(), "energy_prod", "yyyy-MM")

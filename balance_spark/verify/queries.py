@@ -298,13 +298,18 @@ def default_states(spark, folder):
 
 
 def tidy_text(spark, folder):
-    """Tab-separated lines of two files with different periods, read as files are."""
+    """Tab-separated lines of three files with different periods, read as files are.
+
+    Some states have their periods in two of them; together the files hold every cell.
+    """
     countries = star.nations(spark, folder)
     files = [
         star.production_lines(
-            spark, folder, file, countries.filter(F.col("iso_numeric") % 2 == odd), first
+            spark, folder, file, countries.filter(F.col("iso_numeric") % 2 == odd), first, end
+        )
+        for file, odd, first, end in (
+            ("a.tsv", 1, "1992", "9999"), ("b.tsv", 0, "1998", "9999"), ("c.tsv", 0, "1992", "1998")
         )
-        for file, odd, first in (("a.tsv", 1, "1992"), ("b.tsv", 0, "1998"))
     ]
     return wide.tidy_lines(_stack(files), PRODUCTION_SOURCE, with_flag=True)
 
