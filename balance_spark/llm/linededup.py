@@ -21,19 +21,25 @@ WANTED = 1 << 20
 #: A rare word of more distinct lines than this is joined in two steps.
 HOT_LINES = 256
 LAST = (1 << 63) - 1
-_PLACE = ("doc", "line")
-_LINE = ("doc", "line", "hash")
+_PLACE = ("doc", "row", "line")
+_LINE = ("doc", "row", "line", "hash")
 
 
 def _lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """``(doc, line, said)`` of lines that have enough words to be compared.
+    """``(doc, row, line, said)`` of lines that have enough words to be compared.
 
-    Rows without ``doc_id`` come after all others.
+    ``row`` numbers the rows of the table; rows without ``doc_id`` come after all others.
     """
     enough = F.size(F.split(F.btrim("said", F.lit(BLANKS)), BLANK_RUN, min_words + 1))
-    return docs.select(
+    # Numbered before lines are taken apart: in one step each line would get a number.
+    rows = docs.select(
+        F.monotonically_increasing_id().alias("row"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"),
-        F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("line", "said"),
+        F.col("doc_id").isNull().alias("unnamed"),
+        F.col("text").cast("string").alias("text"),
+    )
+    return rows.select(
+        "row", "doc", "unnamed", F.posexplode(F.split("text", "\n")).alias("line", "said")
     ).filter(enough >= min_words)
 
 
@@ -84,7 +90,8 @@ def _passes(s: str, t: str) -> Column:
     differ = f"{s}.n + {t}.n - 2 * CAST(ceil(4 * ({s}.n + {t}.n) / 9) AS int)"
     wide = " + ".join(f"bit_count({s}.wide[{k}] ^ {t}.wide[{k}])" for k in range(4))
     return F.expr(
-        f"({t}.doc < {s}.doc OR {t}.doc = {s}.doc AND {t}.line < {s}.line) "
+        f"({t}.doc < {s}.doc OR {t}.doc = {s}.doc "
+        f"AND ({t}.row < {s}.row OR {t}.row = {s}.row AND {t}.line < {s}.line)) "
         f"AND 5 * least({s}.n, {t}.n) >= 4 * greatest({s}.n, {t}.n) "
         f"AND 9 * (1 + least({s}.n - {s}.at, {t}.n - {t}.at)) >= 4 * ({s}.n + {t}.n) "
         f"AND bit_count({s}.bits ^ {t}.bits) <= {differ} "
@@ -94,8 +101,7 @@ def _passes(s: str, t: str) -> Column:
 
 def _pairs(joined: DataFrame) -> DataFrame:
     return joined.select(
-        *[F.col(f"s.{c}").alias(c) for c in _LINE],
-        *[F.col(f"t.{c}").alias(f"first_{c}") for c in _LINE],
+        F.col("s.hash").alias("hash"), F.col("t.hash").alias("first_hash")
     ).distinct()
 
 
@@ -148,14 +154,14 @@ def _verified(docs: DataFrame, pairs: DataFrame, min_words: int) -> DataFrame:
 
 
 def _marks(docs: DataFrame, first: DataFrame, min_words: int) -> DataFrame:
-    """``(mark, doc, line, hash, n, at, bits, wide)``: each line at each word of its prefix.
+    """``(mark, doc, row, line, hash, n, at, bits, wide)``: each line at each word of its prefix.
 
     A very frequent line is dealt out from its first place only; copies of others meet at
     their marks and are merged there.
     """
     total = first.agg(F.sum("copies")).first()[0] or 0
     often = first.filter(F.col("copies") > total / 10_000 + 100).select(
-        "hash", F.col("doc").alias("own_doc"), F.col("line").alias("own_line")
+        "hash", F.col("row").alias("own_row"), F.col("line").alias("own_line")
     )  # fewer than 10,000 rows
     classes = rarity_classes(docs)
     flip = F.call_function  # shiftleft() of the Python API takes no column
@@ -183,7 +189,7 @@ def _marks(docs: DataFrame, first: DataFrame, min_words: int) -> DataFrame:
         _lines(docs, min_words)
         .withColumn("hash", F.xxhash64("said"))
         .join(F.broadcast(often), "hash", "left")
-        .filter("own_doc IS NULL OR own_doc = doc AND own_line = line")
+        .filter("own_row IS NULL OR own_row = row AND own_line = line")
         .select(*_LINE, _word_set(F.col("said"), classes).alias("set"))
         .select(
             *_LINE, F.size("set").alias("n"), parity.alias("bits"), wide.alias("wide"),
@@ -197,7 +203,7 @@ def _marks(docs: DataFrame, first: DataFrame, min_words: int) -> DataFrame:
         rows.repartition(partitions(docs.sparkSession), "mark")
         .groupBy("mark", "hash", "n", "at", "bits")
         .agg(F.min(F.struct(*_PLACE)).alias("place"), F.first("wide").alias("wide"))
-        .select("mark", "hash", "place.doc", "place.line", "n", "at", "bits", "wide")
+        .select("mark", "hash", "place.*", "n", "at", "bits", "wide")
     )
 
 
@@ -225,7 +231,7 @@ def similar_earlier(docs: DataFrame, first: DataFrame, min_words: int) -> DataFr
     hubs = (
         many.withColumns(kind)
         .groupBy("mark", "size", "part")
-        .agg(F.min(F.struct("doc", "line", "hash", "n", "at", "bits", "wide")).alias("hub"))
+        .agg(F.min(F.struct(*_LINE, "n", "at", "bits", "wide")).alias("hub"))
         .select("mark", "size", "part", "hub.*")
     )
     tied = left.withColumns(kind).alias("s").join(hubs.alias("t"), ["mark", "size", "part"])
@@ -237,18 +243,19 @@ def similar_earlier(docs: DataFrame, first: DataFrame, min_words: int) -> DataFr
 
 
 def removed_lines(docs: DataFrame, *, min_words: int = 3) -> DataFrame:
-    """``(doc, line, copy)`` of the lines of ``docs (doc_id, text)`` that go.
-
-    ``line`` counts from 0; ``copy`` says that the same line stands earlier, else an earlier
-    one is similar.  Earlier lines have a smaller ``doc_id`` or, in one document, a smaller
-    number, whether they go themselves or not.  Lines of fewer than ``min_words`` words never
-    go and are compared with none.  NULL and empty texts have no such line.  Rows with the
-    same ``doc_id`` are one document with two texts: lines with the same number stand at the
-    same place, and neither is earlier.  Rows without ``doc_id`` are one such document behind
-    all others (``doc`` is the largest number).  An empty table gives an empty result.  Other
-    columns are not read.
+    """``(doc, row, line, copy)`` of the lines of ``docs (doc_id, text)`` that go.
+
+    ``row`` numbers the rows of the table as they are scanned, ``line`` counts from 0; ``copy``
+    says that the same line stands earlier, else an earlier one is similar.  Earlier lines have
+    a smaller ``doc_id``, in rows of one ``doc_id`` a smaller row, in one row a smaller number,
+    whether they go themselves or not.  Rows without ``doc_id`` come last; each is a document
+    of its own, and ``doc`` is NULL.  Lines of fewer than ``min_words`` words never go and are
+    compared with none.  NULL and empty texts have no such line.  An empty table gives an empty
+    result.  Other columns are not read.
     """
-    said = _lines(docs, min_words).select(*_PLACE, F.xxhash64("said").alias("hash"))
+    said = _lines(docs, min_words).select(
+        *_PLACE, "unnamed", F.xxhash64("said").alias("hash")
+    )
     first = durable(
         said.groupBy("hash")
         .agg(F.min(F.struct(*_PLACE)).alias("place"), F.count("*").alias("copies"))
@@ -258,33 +265,36 @@ def removed_lines(docs: DataFrame, *, min_words: int = 3) -> DataFrame:
     gone = (
         first.join(similar, "hash", "left")
         .filter("copies > 1 OR similar")
-        .select("hash", F.col("doc").alias("own_doc"), F.col("line").alias("own_line"), "similar")
+        .select("hash", F.col("row").alias("own_row"), F.col("line").alias("own_line"), "similar")
     )
-    at_first = (F.col("doc") == F.col("own_doc")) & (F.col("line") == F.col("own_line"))
+    at_first = (F.col("row") == F.col("own_row")) & (F.col("line") == F.col("own_line"))
     return (
         said.join(gone, "hash")
         .filter(~at_first | F.col("similar"))
-        .select(*_PLACE, (~at_first).alias("copy"))
+        .select(
+            F.when(~F.col("unnamed"), F.col("doc")).alias("doc"),
+            "row", "line", (~at_first).alias("copy"),
+        )
     )
 
 
 def without_repeated_lines(docs: DataFrame, *, min_words: int = 3) -> DataFrame:
     """``docs`` without the lines that ``removed_lines`` names, ``n_chars`` set anew.
 
-    Documents that lose all their lines go; texts that lose none stay as they are.
+    Rows that lose all their lines go; texts that lose none stay as they are.
     """
-    doc, gone, lines = fresh(docs, "_doc", "_gone", "_lines")
-    by_doc = (
+    row, gone, lines = fresh(docs, "_row", "_gone", "_lines")
+    by_row = (
         removed_lines(docs, min_words=min_words)
-        .groupBy(F.col("doc").alias(doc))
+        .groupBy(F.col("row").alias(row))
         .agg(F.collect_set("line").alias(gone))
     )
     kept = F.expr(
         f"transform(array_except(sequence(0, size({lines}) - 1), {gone}), i -> {lines}[i])"
     )
     left = (
-        docs.withColumn(doc, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
-        .join(by_doc, doc, "left")
+        docs.withColumn(row, F.monotonically_increasing_id())
+        .join(by_row, row, "left")
         .withColumn(lines, F.when(F.col(gone).isNotNull(), F.split("text", "\n")))
         .withColumn(lines, kept)
         .filter(F.col(lines).isNull() | (F.size(lines) > 0))
