@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from balance_spark.llm.common import BLANK_RUN, BLANKS, durable, fresh, partitions, words
+from balance_spark.llm.common import BLANKS, durable, fresh, partitions, words
 
 #: Words are counted in this many classes of hashes.
 CLASS_BITS = 16
@@ -25,12 +25,11 @@ _PLACE = ("doc", "row", "line")
 _LINE = ("doc", "row", "line", "hash")
 
 
-def _lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """``(doc, row, line, said)`` of lines that have enough words to be compared.
+def _lines(docs: DataFrame) -> DataFrame:
+    """``(doc, row, line, said)`` of lines that have a word.
 
     ``row`` numbers the rows of the table; rows without ``doc_id`` come after all others.
     """
-    enough = F.size(F.split(F.btrim("said", F.lit(BLANKS)), BLANK_RUN, min_words + 1))
     # Numbered before lines are taken apart: in one step each line would get a number.
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"),
@@ -40,7 +39,7 @@ def _lines(docs: DataFrame, min_words: int) -> DataFrame:
     )
     return rows.select(
         "row", "doc", "unnamed", F.posexplode(F.split("text", "\n")).alias("line", "said")
-    ).filter(enough >= min_words)
+    ).filter(F.btrim("said", F.lit(BLANKS)) != "")
 
 
 def rarity_classes(docs: DataFrame) -> bytes:
@@ -124,7 +123,7 @@ def _wanted_bits(pairs: DataFrame) -> bytes:
     return bits.hex().encode()
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, min_words: int) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """``(hash)`` of the lines in ``pairs`` that have a Jaccard similarity of 0.8 or more.
 
     Of the texts only lines whose hash may be in a pair are shuffled.
@@ -138,7 +137,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, min_words: int) -> DataFrame:
         "shiftright", digit.cast("int"), place.bitwiseAND(F.lit(3))
     ).bitwiseAND(F.lit(1))
     sets = (
-        _lines(docs, min_words)
+        _lines(docs)
         .select(F.xxhash64("said").alias("hash"), "said")
         .filter(inside == 1)
         .groupBy("hash")
@@ -153,7 +152,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, min_words: int) -> DataFrame:
     ).select("hash")
 
 
-def _marks(docs: DataFrame, first: DataFrame, min_words: int) -> DataFrame:
+def _marks(docs: DataFrame, first: DataFrame) -> DataFrame:
     """``(mark, doc, row, line, hash, n, at, bits, wide)``: each line at each word of its prefix.
 
     A very frequent line is dealt out from its first place only; copies of others meet at
@@ -186,7 +185,7 @@ def _marks(docs: DataFrame, first: DataFrame, min_words: int) -> DataFrame:
         ),
     )
     rows = (
-        _lines(docs, min_words)
+        _lines(docs)
         .withColumn("hash", F.xxhash64("said"))
         .join(F.broadcast(often), "hash", "left")
         .filter("own_row IS NULL OR own_row = row AND own_line = line")
@@ -207,14 +206,14 @@ def _marks(docs: DataFrame, first: DataFrame, min_words: int) -> DataFrame:
     )
 
 
-def similar_earlier(docs: DataFrame, first: DataFrame, min_words: int) -> DataFrame:
+def similar_earlier(docs: DataFrame, first: DataFrame) -> DataFrame:
     """``(hash)`` of every distinct line that has an earlier similar one.
 
     Words of few lines are joined with themselves.  At words of many lines each line is first
     compared with the earliest of about its length and bitmap; only lines for which that
     fails meet all others there, so that many variants of one line do not meet pairwise.
     """
-    marks = _marks(docs, first, min_words).withColumn(
+    marks = _marks(docs, first).withColumn(
         "lines", F.count("*").over(Window.partitionBy("mark"))
     )
     few = marks.filter(F.col("lines").between(2, HOT_LINES))
@@ -224,7 +223,7 @@ def similar_earlier(docs: DataFrame, first: DataFrame, min_words: int) -> DataFr
     both = durable(found.unionByName(many, allowMissingColumns=True))
     found = both.filter("mark IS NULL").select(*found.columns)
     many = both.filter("mark IS NOT NULL").select(*many.columns)
-    done = durable(_verified(docs, found, min_words).distinct())
+    done = durable(_verified(docs, found).distinct())
     # Frequent words: lines that are done need no other, but others may be like them.
     left = many.join(done, "hash", "left_anti")
     kind = {"size": F.expr("n div 8"), "part": F.expr("bits & 255")}
@@ -236,24 +235,23 @@ def similar_earlier(docs: DataFrame, first: DataFrame, min_words: int) -> DataFr
     )
     tied = left.withColumns(kind).alias("s").join(hubs.alias("t"), ["mark", "size", "part"])
     tied = durable(_pairs(tied.filter(_passes("s", "t"))))
-    more = durable(_verified(docs, tied, min_words).distinct())
+    more = durable(_verified(docs, tied).distinct())
     rest = left.join(more, "hash", "left_anti")
     last = durable(_pairs(rest.alias("s").join(many.alias("t"), "mark").filter(_passes("s", "t"))))
-    return done.unionByName(more).unionByName(_verified(docs, last, min_words)).distinct()
+    return done.unionByName(more).unionByName(_verified(docs, last)).distinct()
 
 
-def removed_lines(docs: DataFrame, *, min_words: int = 3) -> DataFrame:
+def removed_lines(docs: DataFrame) -> DataFrame:
     """``(doc, row, line, copy)`` of the lines of ``docs (doc_id, text)`` that go.
 
     ``row`` numbers the rows of the table as they are scanned, ``line`` counts from 0; ``copy``
     says that the same line stands earlier, else an earlier one is similar.  Earlier lines have
     a smaller ``doc_id``, in rows of one ``doc_id`` a smaller row, in one row a smaller number,
     whether they go themselves or not.  Rows without ``doc_id`` come last; each is a document
-    of its own, and ``doc`` is NULL.  Lines of fewer than ``min_words`` words never go and are
-    compared with none.  NULL and empty texts have no such line.  An empty table gives an empty
-    result.  Other columns are not read.
+    of its own, and ``doc`` is NULL.  Blank lines never go; NULL and empty texts have no other.
+    An empty table gives an empty result.  Other columns are not read.
     """
-    said = _lines(docs, min_words).select(
+    said = _lines(docs).select(
         *_PLACE, "unnamed", F.xxhash64("said").alias("hash")
     )
     first = durable(
@@ -261,7 +259,7 @@ def removed_lines(docs: DataFrame, *, min_words: int = 3) -> DataFrame:
         .agg(F.min(F.struct(*_PLACE)).alias("place"), F.count("*").alias("copies"))
         .select("hash", "place.*", "copies")
     )
-    similar = similar_earlier(docs, first, min_words).withColumn("similar", F.lit(True))
+    similar = similar_earlier(docs, first).withColumn("similar", F.lit(True))
     gone = (
         first.join(similar, "hash", "left")
         .filter("copies > 1 OR similar")
@@ -278,14 +276,14 @@ def removed_lines(docs: DataFrame, *, min_words: int = 3) -> DataFrame:
     )
 
 
-def without_repeated_lines(docs: DataFrame, *, min_words: int = 3) -> DataFrame:
+def without_repeated_lines(docs: DataFrame) -> DataFrame:
     """``docs`` without the lines that ``removed_lines`` names, ``n_chars`` set anew.
 
     Rows that lose all their lines go; texts that lose none stay as they are.
     """
     row, gone, lines = fresh(docs, "_row", "_gone", "_lines")
     by_row = (
-        removed_lines(docs, min_words=min_words)
+        removed_lines(docs)
         .groupBy(F.col("row").alias(row))
         .agg(F.collect_set("line").alias(gone))
     )
