@@ -6,6 +6,7 @@ from balance_spark.llm.chat import OP10_SQL, op10_chat
 from balance_spark.llm.decontam import op9_decontamination
 from balance_spark.llm.linededup import OP6_SQL, op6_lines
 from balance_spark.llm.packing import op4_packing
+from balance_spark.llm.pieces import op11_pieces
 from balance_spark.llm.quality import OP3_SQL, op3_quality
 from balance_spark.llm.simhash import op5_simhash
 from balance_spark.llm.suffixes import OP2_SQL, op2_suffixes
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_decontamination": op9_decontamination,
     "op10_chat": op10_chat,
+    "op11_pieces": op11_pieces,
 }
 ORACLES = {
     "op2_suffixes": OP2_SQL,
