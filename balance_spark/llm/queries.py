@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from balance_spark.llm.chat import OP10_SQL, op10_chat
 from balance_spark.llm.decontam import op9_decontamination
+from balance_spark.llm.lexical import OP12_SQL, op12_lexical
 from balance_spark.llm.linededup import OP6_SQL, op6_lines
 from balance_spark.llm.packing import op4_packing
 from balance_spark.llm.pieces import op11_pieces
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_chat": op10_chat,
     "op11_pieces": op11_pieces,
+    "op12_lexical": op12_lexical,
 }
 ORACLES = {
     "op2_suffixes": OP2_SQL,
@@ -33,4 +35,5 @@ ORACLES = {
     "op6_lines": OP6_SQL,
     "op8_warc": OP8_SQL,
     "op10_chat": OP10_SQL,
+    "op12_lexical": OP12_SQL,
 }
