@@ -14,6 +14,7 @@ from balance_spark.llm.suffixes import OP2_SQL, op2_suffixes
 from balance_spark.llm.tokenpack import op7_tokens
 from balance_spark.llm.toxicity import op1_toxicity
 from balance_spark.llm.warc import OP8_SQL, op8_warc
+from balance_spark.llm.whitening import op13_whitening
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_chat": op10_chat,
     "op11_pieces": op11_pieces,
     "op12_lexical": op12_lexical,
+    "op13_whitening": op13_whitening,
 }
 ORACLES = {
     "op2_suffixes": OP2_SQL,
