@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from balance_spark.functions.numbers import year_start
-from balance_spark.sources.dims import fixed_rows
 from balance_spark.specs import AGGREGATE, CONSUMPTION, PRODUCTION, Measure
 
 MEMBER_REGION = "EUROPE"
@@ -240,6 +239,23 @@ def _cells(table: DataFrame, key: dict[str, Column], value: str, fmt: str) -> Da
     )
 
 
+def _listed(table: DataFrame, key: dict[str, Column], value: str, fmt: str, periods) -> DataFrame:
+    """``key, cells``: one array per key with a cell for each period, ``: `` where none is."""
+    found = (
+        _cells(table, key, value, fmt)
+        .groupBy("key")
+        .agg(F.map_from_entries(F.collect_list(F.struct("period", "cell"))).alias("found"))
+    )
+    # One lookup for each period, as a function: as columns they are too much for a method.
+    return found.select(
+        "key",
+        F.transform(
+            F.array(*[F.lit(p) for p in periods]),
+            lambda p: F.coalesce(F.col("found")[p], F.lit(": ")),
+        ).alias("cells"),
+    )
+
+
 def _as_wide(table: DataFrame, key: dict[str, Column], value: str, fmt: str) -> DataFrame:
     """A tidy table in the wide text layout: composite key, one column per period.
 
@@ -247,38 +263,45 @@ def _as_wide(table: DataFrame, key: dict[str, Column], value: str, fmt: str) ->
     """
     periods = _periods(fmt)
     header = ",".join(key) + "\\TIME_PERIOD"
-    return (
-        _cells(table, key, value, fmt)
-        .groupBy("key")
-        .pivot("period", periods)
-        .agg(F.first("cell"))
-        .select(
-            F.col("key").alias(header),
-            *[F.coalesce(F.col(f"`{p}`"), F.lit(": ")).alias(f"{p} ") for p in periods],
-        )
+    return _listed(table, key, value, fmt, periods).select(
+        F.col("key").alias(header),
+        *[F.col("cells")[i].alias(f"{p} ") for i, p in enumerate(periods)],
     )
 
 
-def production_lines(
-    spark: SparkSession, folder: str, file: str, chosen: DataFrame, first: str, end: str = "9999"
-) -> DataFrame:
-    """``file, value``: the wide production text of some states, ``first <= period < end``."""
-    periods = [p for p in _periods("yyyy-MM") if first <= p < end]
-    rows = supply(spark, folder).join(chosen.select("state"), "state", "left_semi")
-    listed = (
-        _cells(rows, _production_key(), "energy_prod", "yyyy-MM")
-        .groupBy("key")
-        .agg(F.map_from_entries(F.collect_list(F.struct("period", "cell"))).alias("cells"))
-    )
-    # One lookup for each period, as a function: as columns they are too much for a method.
-    cells = F.transform(
-        F.array(*[F.lit(p) for p in periods]),
-        lambda p: F.coalesce(F.col("cells")[p], F.lit(": ")),
-    )
-    header = "\t".join([",".join(_production_key()) + "\\TIME_PERIOD", *periods])
-    return listed.select(
-        F.lit(file).alias("file"), F.concat_ws("\t", F.col("key"), cells).alias("value")
-    ).unionByName(fixed_rows(spark, [(file, header)], "file, value"))
+def write_production_files(spark: SparkSession, folder: str, path: str) -> None:
+    """The supply table as wide text under ``path``: files with three different headers.
+
+    States with odd numbers have all periods in ``a.tsv``, the others have theirs in
+    ``b.tsv`` and (the early ones, gzipped) in ``c.tsv``; together they hold every cell.
+    """
+    countries = nations(spark, folder)
+    for file, odd, first, end in (
+        ("a.tsv", 1, "1992", "9999"), ("b.tsv", 0, "1998", "9999"), ("c.tsv", 0, "1992", "1998")
+    ):
+        periods = [p for p in _periods("yyyy-MM") if first <= p < end]
+        chosen = countries.filter(F.col("iso_numeric") % 2 == odd).select("state")
+        rows = supply(spark, folder).join(chosen, "state", "left_semi")
+        listed = _listed(rows, _production_key(), "energy_prod", "yyyy-MM", periods)
+        header = "\t".join([",".join(_production_key()) + "\\TIME_PERIOD", *periods])
+        written = listed.select(F.concat_ws("\t", F.col("key"), "cells").alias("value"))
+        headed = written.mapInArrow(_with_header(header), "value string")
+        packed = "gzip" if file == "c.tsv" else "none"
+        headed.write.option("compression", packed).text(f"{path}/{file}")
+
+
+def _with_header(header: str):
+    """Lines of a task below a header of their own: each task writes one file."""
+
+    def add(batches):
+        first = True
+        for batch in batches:
+            if first and len(batch):
+                yield type(batch).from_pydict({"value": [header]}, schema=batch.schema)
+                first = False
+            yield batch
+
+    return add
 
 
 def _production_key() -> dict[str, Column]:

@@ -84,63 +84,97 @@ def melt(wide: DataFrame, source: WideSource) -> DataFrame:
     )
 
 
-def melt_lines(lines: DataFrame, source: WideSource) -> DataFrame:
-    """``melt`` of text ``lines (file, value)`` whose files may each have other periods.
+def files_by_header(spark: SparkSession, path: str) -> list[tuple[str, list[str]]]:
+    """Every distinct header of the files at ``path``, with the files that begin with it.
 
-    A header is the line whose first field names the key's parts (it holds a backslash); it
-    is joined to the lines of its file, so every cell keeps the period above it.  A line with
-    more cells than its header is an error; one with fewer has no cells there.
+    A header is the line whose first field names the key's parts (it holds a backslash).
+    One job looks for them; it brings one row per header to the driver, and the names of the
+    files, which the driver lists to read them anyway.  A file without a header, or with
+    two, is an error; blank lines and files without a line do not matter.
     """
-    fields = F.split("value", "\t")
-    is_header = F.instr(fields[0], "\\") > 0
-    headers = lines.filter(is_header).select(
-        "file",
-        F.transform(
-            F.split(F.substring_index(fields[0], "\\", 1), ","),
-            lambda part: F.when(part == "geo", "state").otherwise(part),
-        ).alias("parts"),
-        F.slice(fields, 2, F.size(fields)).alias("periods"),
-    )
-    rows = lines.filter(~is_header & (F.trim("value") != "")).select(
-        "file",
-        F.split(fields[0], ",").alias("key"),
-        F.slice(fields, 2, F.size(fields)).alias("cells"),
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    is_header = F.instr(F.substring_index("value", "\t", 1), "\\") > 0
+    headers = (
+        lines.filter(F.trim("value") != "")
+        .groupBy("file")
+        .agg(
+            F.count_if(is_header).alias("count"),
+            F.max(F.when(is_header, F.col("value"))).alias("header"),
+        )
+        .groupBy("header", "count")
+        .agg(F.array_sort(F.collect_list("file")).alias("files"))
+        .orderBy("header")
+        .collect()
     )
-    excess = F.concat(F.lit("more cells than periods in "), F.col("file"))
-    names = ["state", *source.keep]
+    for row in headers:
+        if row["count"] != 1:
+            raise ValueError(f"{row['count']} headers in {', '.join(row['files'])}")
+    return [(row["header"], row["files"]) for row in headers]
+
+
+def melt_text(lines: DataFrame, header: str, source: WideSource, partitions: int | None = None) -> DataFrame:
+    """``melt`` of text lines (``value``) that all stand under one ``header``.
+
+    A line with more cells than the header has periods is an error; one with fewer has no
+    cells there.  With ``partitions`` the lines are spread after their codes are filtered.
+    """
+    key_column, *periods = header.split("\t")
+    parts = key_parts(key_column)
+    fields = F.split("value", "\t")
+    excess = F.concat(F.lit("more cells than periods: "), F.substring("value", 1, 80))
+    key = F.split(F.col("fields")[0], ",")
     keyed = (
-        rows.join(headers, "file")
-        .withColumn("part", F.map_from_arrays("parts", "key"))
-        .withColumn(
-            "cells",
-            F.when(F.size("cells") <= F.size("periods"), F.col("cells")).otherwise(
-                F.raise_error(excess)
-            ),
+        lines.filter((F.col("value") != header) & (F.trim("value") != ""))
+        .select(
+            F.when(F.size(fields) <= len(periods) + 1, fields)
+            .otherwise(F.raise_error(excess))
+            .alias("fields")
+        )
+        .select(
+            *[key[i].alias(part) for i, part in enumerate(parts)],
+            F.slice("fields", 2, F.size("fields")).alias("cells"),
         )
-        .select(*[F.col("part")[name].alias(name) for name in names], "periods", "cells")
     )
     for part, codes in source.keep.items():
         keyed = keyed.filter(F.col(part).isin(*codes))
     if source.drop_states:
         keyed = keyed.filter(~F.col("state").isin(*source.drop_states))
-    return keyed.select(*names, F.explode(F.arrays_zip("periods", "cells")).alias("cell")).select(
-        *names,
-        period_start(F.col("cell.periods"), source.period, source.lenient_period).alias("date"),
-        F.col("cell.cells").alias("raw"),
+    names = ["state", *source.keep]
+    keyed = keyed.select(*names, "cells")
+    if partitions:
+        keyed = keyed.repartition(partitions)
+    dates = F.array(
+        *[period_start(F.lit(p), source.period, source.lenient_period) for p in periods]
+    )
+    return keyed.select(*names, F.posexplode("cells").alias("position", "raw")).select(
+        *names, F.get(dates, F.col("position")).alias("date"), "raw"
     )
-
-
-def tidy_lines(lines: DataFrame, source: WideSource, with_flag: bool = False) -> DataFrame:
-    """Text ``lines (file, value)`` to a tidy table."""
-    return _tidy(melt_lines(lines, source), source, with_flag)
 
 
 def tidy_files(
     spark: SparkSession, path: str, source: WideSource, with_flag: bool = False
 ) -> DataFrame:
-    """Tab-separated files to a tidy table; every file is read under its own header."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
-    return tidy_lines(lines, source, with_flag)
+    """Tab-separated files to a tidy table; every file is read under its own header.
+
+    The headers are read first (``files_by_header``, the one job that runs here).  Then the
+    files of each header are one scan whose cells look their period up by position, so no
+    data line is joined or moved.  Only gzip files, which one task each has to read, have
+    their kept lines spread over the cluster before the melt multiplies them.  The plan has
+    a branch for each distinct header.
+    """
+    spread = spark.sparkContext.defaultParallelism
+    melted = None
+    for header, files in files_by_header(spark, path):
+        packed = [name for name in files if name.endswith(".gz")]
+        plain = [name for name in files if not name.endswith(".gz")]
+        for chosen, partitions in ((plain, None), (packed, spread)):
+            if chosen:
+                part = melt_text(spark.read.text(chosen), header, source, partitions)
+                melted = part if melted is None else melted.unionByName(part)
+    if melted is None:
+        names = ", ".join(f"{name} string" for name in ["state", *source.keep])
+        melted = spark.createDataFrame([], f"{names}, date date, raw string")
+    return _tidy(melted, source, with_flag)
 
 
 def tidy(wide: DataFrame, source: WideSource, with_flag: bool = False) -> DataFrame:

@@ -31,6 +31,7 @@ from balance_spark.plans.reports import (
 )
 from balance_spark.sources import star, wide
 from balance_spark.sources.dims import labels
+from balance_spark.sources.tables import new_folder
 from balance_spark.specs import (
     AGGREGATE,
     BALANCE,
@@ -298,20 +299,10 @@ def default_states(spark, folder):
 
 
 def tidy_text(spark, folder):
-    """Tab-separated lines of three files with different periods, read as files are.
-
-    Some states have their periods in two of them; together the files hold every cell.
-    """
-    countries = star.nations(spark, folder)
-    files = [
-        star.production_lines(
-            spark, folder, file, countries.filter(F.col("iso_numeric") % 2 == odd), first, end
-        )
-        for file, odd, first, end in (
-            ("a.tsv", 1, "1992", "9999"), ("b.tsv", 0, "1998", "9999"), ("c.tsv", 0, "1992", "1998")
-        )
-    ]
-    return wide.tidy_lines(_stack(files), PRODUCTION_SOURCE, with_flag=True)
+    """Tab-separated files with different periods, written to the shared folder and read."""
+    path = new_folder(spark, "tidy-text")
+    star.write_production_files(spark, folder, path)
+    return wide.tidy_files(spark, f"{path}/*.tsv", PRODUCTION_SOURCE, with_flag=True)
 
 
 def upsample_daily(spark, folder):

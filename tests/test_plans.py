@@ -15,6 +15,8 @@ from balance_spark.verify.compare import compare, connect
 from balance_spark.verify.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
+#: Queries that write files and read them again, which takes jobs of its own.
+WRITERS = {"tidy_text"}
 
 
 @contextmanager
@@ -140,7 +142,7 @@ def test_no_job_runs_while_queries_are_built(spark):
         star.read(spark, folder, name)
     spark.sparkContext.setJobGroup("building", "plans only")
     try:
-        for name in sorted(QUERIES):
+        for name in sorted(set(QUERIES) - WRITERS):
             QUERIES[name](spark, folder)
             assert not spark.sparkContext.statusTracker().getJobIdsForGroup("building"), name
     finally:

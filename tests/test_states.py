@@ -39,9 +39,10 @@ def test_state_lists(spark):
         ("EU27_2020", "EU27_2020", "Unione Europea"),
         ("FR", "France", "France"),
         ("DE", "Germany", "Germany"),
+        ("XX", "XX", "XX"),  # not in the dimension: goes by its code
     ]
     listed = catalogs.state_catalog_members(table, dims.countries(spark)).collect()
-    assert [tuple(r) for r in listed] == [("FR", "France"), ("DE", "Germany")]
+    assert [tuple(r) for r in listed] == [("FR", "France"), ("DE", "Germany"), ("XX", "XX")]
     names = spark.createDataFrame([("Greece",)], "name string")
     assert catalogs.state_code_of(names, dims.countries(spark)).first().state == "GR"
 

@@ -173,6 +173,47 @@ def test_files_with_different_periods(spark, rows, tmp_path):
         wide.tidy_files(spark, f"{tmp_path}/*.tsv", wide.PRODUCTION_SOURCE).collect()
 
 
+def test_files_without_one_header_are_refused(spark, tmp_path):
+    (tmp_path / "a.tsv").write_text("siec,unit,geo\\TIME_PERIOD\t2020-01\nCF,GWH,DE\t1.0\n")
+    (tmp_path / "empty.tsv").write_text("")
+    (tmp_path / "blank.tsv").write_text("\n \n")
+    read = wide.tidy_files(spark, f"{tmp_path}/*.tsv", wide.PRODUCTION_SOURCE)
+    assert read.count() == 1
+    assert wide.tidy_files(spark, f"{tmp_path}/[be]*.tsv", wide.PRODUCTION_SOURCE).count() == 0
+    (tmp_path / "b.tsv").write_text("CF,GWH,DE\t1.0\n")
+    with pytest.raises(ValueError, match="0 headers in .*b.tsv"):
+        wide.tidy_files(spark, f"{tmp_path}/*.tsv", wide.PRODUCTION_SOURCE)
+    (tmp_path / "b.tsv").write_text("unit,siec,geo\\TIME_PERIOD\t2020\n" * 2)
+    with pytest.raises(ValueError, match="2 headers in .*b.tsv"):
+        wide.tidy_files(spark, f"{tmp_path}/*.tsv", wide.PRODUCTION_SOURCE)
+
+
+def test_data_lines_stay_where_they_are(spark, rows, tmp_path):
+    """No join and no exchange over data lines; gzip files alone are spread, once filtered."""
+    import gzip
+
+    head = "siec,unit,geo\\TIME_PERIOD"
+    for n in range(12):
+        text = f"{head}\t2020-{n % 3 + 1:02d}\n" + "".join(f"CF,GWH,S{n}_{k}\t{k + 1}\n" for k in range(50))
+        (tmp_path / f"f{n}.tsv").write_text(text)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        table = wide.tidy_files(spark, f"{tmp_path}/*.tsv", wide.PRODUCTION_SOURCE)
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan and plan.count("Scan text") == 3
+        assert table.count() == 600
+        assert [r[0].month for r in rows(table.select("date").distinct())] == [1, 2, 3]
+        with gzip.open(tmp_path / "g.tsv.gz", "wt") as file:
+            file.write(f"{head}\t2020-01\n" + "".join(f"CF,GWH,G{k}\t1\n" for k in range(500)))
+        table = wide.tidy_files(spark, f"{tmp_path}/*.tsv*", wide.PRODUCTION_SOURCE)
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("RoundRobinPartitioning") == 1 and "hashpartitioning" not in plan
+        assert table.count() == 1100
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
 def test_one_header_is_demanded(spark, tmp_path):
     for name, period in (("a", "2020-01"), ("b", "2020-02")):
         (tmp_path / f"{name}.tsv").write_text(f"siec,geo\\TIME_PERIOD\t{period}\nCF,DE\t1.0\n")
