@@ -1,29 +1,35 @@
 """Continuing every series of a tidy table.
 
-Two methods with one contract, ``unique_id, last, date, value, low, high`` with
+Four methods with one contract, ``unique_id, last, date, value, low, high, method`` with
 ``horizon`` rows per series after its ``last`` observed date:
 
-* ``seasonal``: straight trend plus seasonal means, Spark functions only;
-* ``auto``: a seasonal ARMA model on differences, picked per series by AICc.
+* ``trend``: a straight line;
+* ``seasonal``: straight trend plus seasonal means;
+* ``smoothed``: additive smoothing of level, trend and season;
+* ``auto``: of these three, per series, the one with the smallest AICc.
 
-All series are continued in one job.  Repeated observations are averaged per period
-before any series is put together, so no series is longer than the calendar.
+All are Spark functions, all series are continued in one job, and intervals widen with the
+step.  Repeated observations are averaged per period before any series is put together, so
+no series is longer than the calendar.  ``arma``, a seasonal ARMA model in numpy, can be asked
+for; no other method uses it.
 """
 
 from __future__ import annotations
 
+from dataclasses import replace
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from balance_spark.functions.numbers import not_below_zero
 from balance_spark.operators import seasonal_arma
 from balance_spark.operators.members import only_states
 from balance_spark.operators.resample import one_per_date, upsample
+from balance_spark.operators.smoothing import smoothed, steps_ahead
 from balance_spark.specs import ForecastPlan, Measure
 
 
@@ -37,7 +43,7 @@ def _normal_width(level: float) -> float:
 
 
 def seasonal_profile(grid: DataFrame, plan: ForecastPlan) -> DataFrame:
-    """Per series: the slope, a level per season position, and the leftover spread.
+    """Per series: the slope, a level per season position, and the leftover squares.
 
     This is the least-squares fit of a straight trend plus one level per position.  Its
     slope depends on the moments inside the positions only, so one aggregation per
@@ -65,17 +71,20 @@ def seasonal_profile(grid: DataFrame, plan: ForecastPlan) -> DataFrame:
     )
     n, slope = F.col("n"), F.coalesce(F.try_divide("ty", "tt"), F.lit(0.0))
     squares = F.col("yy") - 2 * slope * F.col("ty") + slope * slope * F.col("tt")
+    free = F.col("length") - F.col("phases") - 1
     return (
         positions.groupBy("unique_id")
         .agg(
             F.max("last").alias("last"),
             F.max("last_t").alias("last_t"),
             F.sum("n").alias("length"),
+            F.count("*").alias("phases"),
             F.sum(n * F.col("yy")).alias("yy"),
             F.sum(n * F.col("tt")).alias("tt"),
             F.sum(n * F.col("ty")).alias("ty"),
+            F.sum(n * (F.col("yy") + y * y)).alias("power"),
             F.map_from_entries(
-                F.collect_list(F.struct("phase", F.struct("y", "t").alias("mean")))
+                F.collect_list(F.struct("phase", F.struct("y", "t", "n").alias("mean")))
             ).alias("means"),
         )
         .select(
@@ -83,38 +92,131 @@ def seasonal_profile(grid: DataFrame, plan: ForecastPlan) -> DataFrame:
             "last",
             "last_t",
             "means",
+            "length",
+            "phases",
+            "power",
+            "tt",
             slope.alias("slope"),
-            F.coalesce(
-                F.sqrt(F.greatest(F.try_divide(squares, F.col("length") - 1), F.lit(0.0))),
-                F.lit(0.0),
-            ).alias("sd"),
+            F.greatest(squares, F.lit(0.0)).alias("squares"),
         )
+        .withColumn("sd", F.when(free > 0, F.sqrt(F.col("squares") / free)).otherwise(0.0))
     )
 
 
-def forecast_seasonal(points: DataFrame, plan: ForecastPlan) -> DataFrame:
-    """Trend plus seasonal level, with the leftover spread as interval."""
-    profile = seasonal_profile(upsample(points, plan.step_months), plan)
-    t = F.col("last_t") + F.col("k")
-    mean = F.coalesce(
-        F.try_element_at("means", t % plan.season), F.try_element_at("means", F.lit(0))
-    )
-    half = F.col("sd") * _normal_width(plan.level)
-    return (
-        profile.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(plan.horizon))))
-        .withColumn("mean", mean)
-        .withColumn("value", F.col("mean.y") + F.col("slope") * (t - F.col("mean.t")))
-        .select(
-            "unique_id",
-            "last",
-            F.add_months("last", F.col("k") * plan.step_months).alias("date"),
-            "value",
-            (F.col("value") - half).alias("low"),
-            (F.col("value") + half).alias("high"),
+def _line_ahead(plan: ForecastPlan) -> Column:
+    """The array of ``k, value, half`` of a row of ``seasonal_profile``.
+
+    The variance of a prediction is that of the leftovers, of the position's level and of the
+    slope, which counts the more the farther a step is from the position's mean date.
+    """
+    width = _normal_width(plan.level)
+
+    def step(k):
+        t = F.col("last_t") + k
+        mean = F.coalesce(
+            F.try_element_at("means", t % plan.season), F.try_element_at("means", F.lit(0))
+        )
+        away = t - mean["t"]
+        spread = 1 + 1 / mean["n"] + F.coalesce(F.try_divide(away * away, "tt"), F.lit(0.0))
+        return F.struct(
+            k.alias("k"),
+            (mean["y"] + F.col("slope") * away).alias("value"),
+            (F.col("sd") * F.sqrt(spread) * width).alias("half"),
         )
+
+    return F.transform(F.sequence(F.lit(1), F.lit(plan.horizon)), step)
+
+
+def _score(parameters) -> Column:
+    """AICc of a fit with ``squares`` over ``errors`` of ``length`` values; NULL without
+    enough of them.  Fits closer than rounding count as equally close."""
+    n, p = F.col("length"), parameters
+    nearest = 1e-9 * F.col("power") / n + 1e-12
+    error = F.greatest(F.coalesce(F.try_divide("squares", "errors"), F.lit(0.0)), nearest)
+    return F.when(n > p + 1, n * F.log(error) + 2 * p + 2 * p * (p + 1) / (n - p - 1))
+
+
+def _line_fit(points: DataFrame, plan: ForecastPlan, method: str) -> DataFrame:
+    """One row per series: ``unique_id, last, method, score, steps`` of a fitted line."""
+    season = plan.season if method == "seasonal" else 1
+    plan = replace(plan, season=season)
+    fit = seasonal_profile(upsample(points, plan.step_months), plan)
+    score = _score(F.col("phases") + 2)
+    if method == "seasonal":
+        score = F.when(F.col("phases") > 1, score)  # otherwise it is the trend
+    return fit.withColumn("errors", F.col("length")).select(
+        "unique_id", "last", F.lit(method).alias("method"), score.alias("score"),
+        _line_ahead(plan).alias("steps"),
+    )
+
+
+def _smooth_fit(points: DataFrame, plan: ForecastPlan) -> DataFrame:
+    """The same by smoothing."""
+    power = F.aggregate("y", F.lit(0.0), lambda total, v: total + v * v)
+    series = series_rows(points, plan)
+    fit = smoothed(series.withColumn("last", F.struct("last", power.alias("power"))), plan)
+    fit = fit.withColumns(
+        {"power": F.col("last.power"), "last": F.col("last.last"), "squares": F.col("state.squares")}
+    )
+    parameters = F.when(F.col("period") > 1, plan.season + 6).otherwise(5)
+    return fit.select(
+        "unique_id", "last", F.lit("smoothed").alias("method"), _score(parameters).alias("score"),
+        steps_ahead(plan, _normal_width(plan.level)).alias("steps"),
+    )
+
+
+def _unrolled(fits: DataFrame, plan: ForecastPlan) -> DataFrame:
+    """One row per series and step of rows with ``steps``."""
+    return fits.select("unique_id", "last", "method", F.inline("steps")).select(
+        "unique_id",
+        "last",
+        F.add_months("last", F.col("k") * plan.step_months).alias("date"),
+        "value",
+        (F.col("value") - F.col("half")).alias("low"),
+        (F.col("value") + F.col("half")).alias("high"),
+        "method",
     )
 
 
+def forecast_trend(points: DataFrame, plan: ForecastPlan) -> DataFrame:
+    """A straight line."""
+    return _unrolled(_line_fit(points, plan, "trend"), plan)
+
+
+def forecast_seasonal(points: DataFrame, plan: ForecastPlan) -> DataFrame:
+    """Trend plus seasonal level; without two full seasons the trend."""
+    return _unrolled(_line_fit(points, plan, "seasonal"), plan)
+
+
+def forecast_smoothed(points: DataFrame, plan: ForecastPlan) -> DataFrame:
+    """Additive smoothing of level, trend and season."""
+    return _unrolled(_smooth_fit(points, plan), plan)
+
+
+def forecast_auto(points: DataFrame, plan: ForecastPlan) -> DataFrame:
+    """Per series the method with the smallest AICc, named in ``method``.
+
+    Equal ones go to the simpler method; a series too short for any score gets its trend.
+    The points are shuffled once, by series, for all three.
+    """
+    partitions = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    points = points.repartition(partitions, "unique_id")
+    fits = [
+        _line_fit(points, plan, "trend").withColumn(
+            "score", F.coalesce("score", F.lit(float("inf")))
+        ),
+        _line_fit(points, plan, "seasonal"),
+        _smooth_fit(points, plan),
+    ]
+    ranked = [f.withColumn("rank", F.lit(k)).filter("score IS NOT NULL") for k, f in enumerate(fits)]
+    chosen = F.min_by(F.struct("last", "method", "steps"), F.struct("score", "rank"))
+    best = (
+        ranked[0].unionByName(ranked[1]).unionByName(ranked[2])
+        .groupBy("unique_id").agg(chosen.alias("fit")).select("unique_id", "fit.*")
+    )
+    return _unrolled(best, plan)
+
+
 def series_rows(points: DataFrame, plan: ForecastPlan) -> DataFrame:
     """One row per series: ``unique_id, last`` and the values on the regular grid.
 
@@ -133,8 +235,8 @@ def series_rows(points: DataFrame, plan: ForecastPlan) -> DataFrame:
     )
 
 
-def forecast_auto(points: DataFrame, plan: ForecastPlan) -> DataFrame:
-    """Seasonal ARMA model per series, short series by smoothing."""
+def forecast_arma(points: DataFrame, plan: ForecastPlan) -> DataFrame:
+    """Seasonal ARMA model per series in numpy, short series by smoothing."""
     season, horizon = plan.season, plan.horizon
     width = _normal_width(plan.level)
     continue_batch = seasonal_arma.continue_batch
@@ -166,11 +268,18 @@ def forecast_auto(points: DataFrame, plan: ForecastPlan) -> DataFrame:
             "value",
             "low",
             "high",
+            F.lit("arma").alias("method"),
         )
     )
 
 
-METHODS = {"auto": forecast_auto, "seasonal": forecast_seasonal}
+METHODS = {
+    "auto": forecast_auto,
+    "trend": forecast_trend,
+    "seasonal": forecast_seasonal,
+    "smoothed": forecast_smoothed,
+    "arma": forecast_arma,
+}
 
 
 def clip_nonnegative(table: DataFrame, *columns: str) -> DataFrame:

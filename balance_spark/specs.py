@@ -53,7 +53,7 @@ class ForecastPlan:
     season: int
     step_months: int
     horizon: int
-    method: str = "auto"  # "auto" or "seasonal"
+    method: str = "auto"  # "auto", "trend", "seasonal", "smoothed" or "arma"
     level: float = 0.95
 
 

@@ -6,6 +6,7 @@ shares no shortcut with the Spark side.
 
 from __future__ import annotations
 
+from balance_spark.operators.smoothing import LEVEL_RATES, SEASON_RATES, TREND_RATES
 from balance_spark.sources.star import (
     MEMBERS,
     PREDICTED_FROM_MONTH,
@@ -147,7 +148,7 @@ def sql(body: str, **extra: str) -> str:
     """The query with the common tables it needs; unused ones cost nothing."""
     tables = CTES | extra
     return (
-        "WITH "
+        "WITH RECURSIVE "
         + ",\n".join(f"{name} AS ({text})" for name, text in tables.items())
         + "\n"
         + body
@@ -174,46 +175,170 @@ def grid(points: str, step: int) -> dict[str, str]:
     }
 
 
-def seasonal(points: str, step: int, season: int, horizon: int) -> dict[str, str]:
-    """Tables that continue a grid by trend and seasonal means."""
-    return grid(points, step) | {
-        "placed": """
-            SELECT *, ROW_NUMBER() OVER (PARTITION BY unique_id ORDER BY ds) - 1 AS t,
-                   COUNT(*) OVER (PARTITION BY unique_id) AS n
-            FROM grid""",
-        "phased": f"""
+def fitted(prefix: str, season: int, horizon: int, step: int) -> dict[str, str]:
+    """Tables of a line fitted to ``grid``, with a level per position of the season."""
+    p = prefix
+    return {
+        f"{p}phased": f"""
             SELECT *, CASE WHEN n >= {2 * season} THEN t % {season} ELSE 0 END AS phase
             FROM placed""",
-        "level": """
-            SELECT unique_id, phase, AVG(y) AS my, AVG(t) AS mt FROM phased GROUP BY 1, 2""",
-        "trend": """
+        f"{p}level": f"""
+            SELECT unique_id, phase, AVG(y) AS my, AVG(t) AS mt, COUNT(*) AS np
+            FROM {p}phased GROUP BY 1, 2""",
+        f"{p}trend": f"""
             SELECT unique_id, MAX(ds) AS last, MAX(t) AS last_t, MAX(n) AS n,
+                   SUM((t - mt) * (t - mt)) AS tt, AVG(y * y) AS power,
+                   COUNT(DISTINCT phase) AS phases,
                    CASE WHEN SUM((t - mt) * (t - mt)) > 0
                         THEN SUM((t - mt) * (y - my)) / SUM((t - mt) * (t - mt)) ELSE 0 END AS b
-            FROM phased JOIN level USING (unique_id, phase) GROUP BY unique_id""",
-        "spread": f"""
-            SELECT unique_id,
-                   COALESCE({WIDTH} * stddev_samp(y - my - b * (t - mt)), 0) AS half
-            FROM phased JOIN level USING (unique_id, phase) JOIN trend USING (unique_id)
+            FROM {p}phased JOIN {p}level USING (unique_id, phase) GROUP BY unique_id""",
+        f"{p}spread": f"""
+            SELECT unique_id, SUM((y - my - b * (t - mt)) * (y - my - b * (t - mt))) AS squares
+            FROM {p}phased JOIN {p}level USING (unique_id, phase) JOIN {p}trend USING (unique_id)
             GROUP BY 1""",
-        "ahead": f"""
-            SELECT unique_id, last, my + b * (last_t + k - mt) AS value, half,
-                   CAST(last + to_months(CAST(k * {step} AS INTEGER)) AS DATE) AS date
-            FROM trend JOIN spread USING (unique_id), range(1, {horizon + 1}) AS h(k), level
-            WHERE level.unique_id = trend.unique_id
-              AND level.phase = CASE WHEN n >= {2 * season} THEN (last_t + k) % {season}
-                                ELSE 0 END""",
-        "forecast": """
-            SELECT unique_id, last, date, value, value - half AS low, value + half AS high
-            FROM ahead""",
+        f"{p}ahead": f"""
+            SELECT unique_id, last, k, my + b * (last_t + k - mt) AS value,
+                   CASE WHEN n - phases - 1 > 0 THEN {WIDTH} * sqrt(squares / (n - phases - 1) *
+                     (1 + 1.0::DOUBLE / np + CASE WHEN tt > 0
+                      THEN (last_t + k - mt) * (last_t + k - mt) / tt ELSE 0 END)) ELSE 0 END AS half
+            FROM {p}trend JOIN {p}spread USING (unique_id), range(1, {horizon + 1}) AS h(k), {p}level
+            WHERE {p}level.unique_id = {p}trend.unique_id
+              AND {p}level.phase = CASE WHEN n >= {2 * season} THEN (last_t + k) % {season}
+                                   ELSE 0 END""",
+        f"{p}score": f"""
+            SELECT unique_id, phases, {_aicc('n', 'phases + 2', 'squares / n', 'power')} AS score
+            FROM {p}trend JOIN {p}spread USING (unique_id)""",
+    }
+
+
+def _aicc(n: str, p: str, error: str, power: str) -> str:
+    return f"""CASE WHEN {n} > {p} + 1 THEN
+        {n} * ln(greatest({error}, 1e-9::DOUBLE * {power} + 1e-12::DOUBLE)) + 2 * ({p})
+        + 2 * ({p}) * ({p} + 1) / ({n} - ({p}) - 1)::DOUBLE END"""
+
+
+def _placed(points: str, step: int) -> dict[str, str]:
+    return grid(points, step) | {
+        "placed": """
+            SELECT *, ROW_NUMBER() OVER (PARTITION BY unique_id ORDER BY ds) - 1 AS t,
+                   COUNT(*) OVER (PARTITION BY unique_id) AS n
+            FROM grid"""
+    }
+
+
+def _forecast(ahead: str, step: int, method: str) -> str:
+    return f"""
+        SELECT unique_id, last, CAST(last + to_months(CAST(k * {step} AS INTEGER)) AS DATE) AS date,
+               value, value - half AS low, value + half AS high, {method} AS method FROM {ahead}"""
+
+
+def seasonal(points: str, step: int, season: int, horizon: int) -> dict[str, str]:
+    """Tables that continue a grid by trend and seasonal means."""
+    return (
+        _placed(points, step)
+        | fitted("", season, horizon, step)
+        | {"forecast": _forecast("ahead", step, "'seasonal'")}
+    )
+
+
+def smoothing(season: int, horizon: int) -> dict[str, str]:
+    """Tables that run level, trend and seasons over ``grid``, one value after the other."""
+    rates = ", ".join(
+        f"({a}::DOUBLE, {b}::DOUBLE, {g}::DOUBLE)"
+        for a in LEVEL_RATES for b in TREND_RATES for g in SEASON_RATES
+    )
+    return {
+        "listed": f"""
+            SELECT *, CASE WHEN n >= {2 * season} THEN {season} ELSE 1 END AS m FROM (
+              SELECT unique_id, MAX(ds) AS last, list(y ORDER BY ds) AS y, COUNT(*) AS n,
+                     AVG(y * y) AS power FROM grid GROUP BY 1) AS t""",
+        "begun": f"""
+            SELECT *, list_sum(y[1:{season}]) / {season} AS one,
+                   list_sum(y[{season + 1}:{2 * season}]) / {season} AS two FROM listed""",
+        "rate": f"SELECT * FROM (VALUES {rates}) AS r(a, b, g)",
+        "run": f"""
+            SELECT unique_id, a, b, g, m AS t, 0.0::DOUBLE AS squares,
+                   CASE WHEN m > 1 THEN one ELSE y[1] END AS level,
+                   CASE WHEN m > 1 THEN (two - one) / {season} WHEN n > 2 THEN y[2] - y[1]
+                        ELSE 0 END AS trend,
+                   CASE WHEN m > 1 THEN list_transform(y[1:{season}], lambda v: v - one)
+                        ELSE [0.0::DOUBLE] END AS seasons
+            FROM begun, rate
+            UNION ALL
+            SELECT unique_id, a, b, g, t + 1, squares + e * e, level + trend + a * e,
+                   trend + a * b * e, list_append(seasons[2:], seasons[1] + g * (1 - a) * e)
+            FROM (SELECT r.*, y[t + 1] - (level + trend + seasons[1]) AS e
+                  FROM run r JOIN listed USING (unique_id) WHERE t < n) AS s""",
+        "best": """
+            SELECT * FROM (
+              SELECT r.*, l.last, l.n, l.m, l.power, ROW_NUMBER() OVER (
+                       PARTITION BY unique_id ORDER BY squares, a, b, g) AS place
+              FROM run r JOIN listed l USING (unique_id) WHERE t = n) AS s WHERE place = 1""",
+        "weighed": f"""
+            SELECT *, (k - 1)::DOUBLE AS j, ((k - 1) // m)::DOUBLE AS q,
+                   CASE WHEN m > 1 THEN g * (1 - a) ELSE 0 END AS gg,
+                   CASE WHEN n > m THEN squares / (n - m) ELSE 0 END AS error
+            FROM best, range(1, {horizon + 1}) AS h(k)""",
+        "smooth_ahead": f"""
+            SELECT unique_id, last, k, level + k * trend + seasons[1 + (k - 1) % m] AS value,
+                   {WIDTH} * sqrt(error * (1 + a * a * (j + b * j * (j + 1)
+                       + b * b * j * (j + 1) * (2 * j + 1) / 6)
+                     + 2 * gg * (a * q + a * b * m * q * (q + 1) / 2) + gg * gg * q)) AS half
+            FROM weighed""",
+        "smooth_score": f"""
+            SELECT unique_id, {_aicc('n', f'(CASE WHEN m > 1 THEN {season + 6} ELSE 5 END)',
+                                     '(CASE WHEN n > m THEN squares / (n - m) ELSE 0 END)', 'power')}
+                   AS score FROM best""",
     }
 
 
+def smooth(points: str, step: int, season: int, horizon: int) -> dict[str, str]:
+    return (
+        _placed(points, step)
+        | smoothing(season, horizon)
+        | {"forecast": _forecast("smooth_ahead", step, "'smoothed'")}
+    )
+
+
+def chosen_method(points: str, step: int, season: int, horizon: int) -> dict[str, str]:
+    """Tables that continue every series by the method with the smallest AICc."""
+    return (
+        _placed(points, step)
+        | fitted("line_", 1, horizon, step)
+        | fitted("", season, horizon, step)
+        | smoothing(season, horizon)
+        | {
+            "scores": """
+                SELECT unique_id, 'trend' AS method, 0 AS rank,
+                       COALESCE(score, 'inf'::DOUBLE) AS score FROM line_score
+                UNION ALL SELECT unique_id, 'seasonal', 1, score FROM score WHERE phases > 1
+                UNION ALL SELECT unique_id, 'smoothed', 2, score FROM smooth_score""",
+            "chosen_method": """
+                SELECT unique_id, method FROM (
+                  SELECT *, ROW_NUMBER() OVER (PARTITION BY unique_id ORDER BY score, rank) AS place
+                  FROM scores WHERE score IS NOT NULL) AS s WHERE place = 1""",
+            "all_ahead": """
+                SELECT *, 'trend' AS method FROM line_ahead
+                UNION ALL SELECT *, 'seasonal' FROM ahead
+                UNION ALL SELECT *, 'smoothed' FROM smooth_ahead""",
+            "chosen_ahead": "SELECT * FROM all_ahead JOIN chosen_method USING (unique_id, method)",
+            "forecast": _forecast("chosen_ahead", step, "method"),
+        }
+    )
+
+
+ROUNDED_FORECAST = """
+    SELECT unique_id, last, date, round(value, 3) AS value, round(low, 3) AS low,
+           round(high, 3) AS high, method FROM forecast"""
+
+
 def _clip(column: str) -> str:
     return f"round(CASE WHEN {column} < 0 THEN 0 ELSE {column} END, 3)"
 
 
-def continued(where: str, tidy: str, value: str, category: str, extra: dict[str, str]) -> str:
+def continued(
+    where: str, tidy: str, value: str, category: str, extra: dict[str, str], next_year: bool = False
+) -> str:
     """Actual rows and clipped forecast rows."""
     return sql(
         f"""
@@ -223,7 +348,7 @@ def continued(where: str, tidy: str, value: str, category: str, extra: dict[str,
         UNION ALL
         SELECT split_part(unique_id, ';', 2), split_part(unique_id, ';', 1), date,
                {_clip('value')}, unique_id, TRUE, {_clip('low')}, {_clip('high')}
-        FROM forecast{' WHERE year(date) > year(last)' if tidy == 'consumption' else ''}""",
+        FROM forecast{' WHERE year(date) > year(last)' if next_year else ''}""",
         chosen=f"SELECT * FROM {tidy} WHERE {where}",
         chosen_points=f"SELECT unique_id, date AS ds, {value} AS y FROM chosen",
         **extra,
@@ -531,13 +656,25 @@ ORACLES = {
     ),
     "top_states": sql(top_states("annual_consumption", "energy_cons", "nrg_bal", "FC")),
     "forecast_seasonal": sql(
-        """SELECT unique_id, last, date, round(value, 3) AS value, round(low, 3) AS low,
-                  round(high, 3) AS high FROM forecast""",
-        **seasonal("production_points", 1, 12, 48),
+        ROUNDED_FORECAST, **seasonal("production_points", 1, 12, 48)
+    ),
+    "forecast_smoothed": sql(
+        ROUNDED_FORECAST, **smooth("production_points", 1, 12, 48)
+    ),
+    "forecast_auto": sql(
+        ROUNDED_FORECAST, **chosen_method("production_points", 1, 12, 48)
     ),
     "forecast_category_seasonal": continued(
         "siec = 'TOTAL'", "production", "energy_prod", "siec", seasonal("chosen_points", 1, 12, 48)
     ),
+    "forecast_category": continued(
+        "siec = 'TOTAL'", "production", "energy_prod", "siec",
+        chosen_method("chosen_points", 1, 12, 48),
+    ),
+    "forecast_state": continued(
+        f"state = '{AGG}'", "production", "energy_prod", "siec",
+        chosen_method("chosen_points", 1, 12, 48),
+    ),
     "forecast_state_seasonal": continued(
         f"state = '{AGG}'", "production", "energy_prod", "siec",
         seasonal("chosen_points", 1, 12, 48),
@@ -571,12 +708,20 @@ ORACLES = {
         "SELECT unique_id, ds, round(y, 6) AS y FROM grid", **grid("consumption_points", 2)
     ),
     "forecast_upsampled_seasonal": sql(
-        """SELECT unique_id, last, date, round(value, 3) AS value, round(low, 3) AS low,
-                  round(high, 3) AS high FROM forecast""",
-        **seasonal("consumption_points", 2, 6, 24),
+        ROUNDED_FORECAST, **seasonal("consumption_points", 2, 6, 24)
+    ),
+    "forecast_upsampled_smoothed": sql(
+        ROUNDED_FORECAST, **smooth("consumption_points", 2, 6, 24)
+    ),
+    "forecast_upsampled": sql(
+        ROUNDED_FORECAST, **chosen_method("consumption_points", 2, 6, 24)
     ),
     "forecast_consumption_next_year": continued(
-        "TRUE", "consumption", "energy_cons", "nrg_bal", seasonal("chosen_points", 2, 6, 24)
+        "TRUE", "consumption", "energy_cons", "nrg_bal", seasonal("chosen_points", 2, 6, 24),
+        next_year=True,
+    ),
+    "forecast_consumption": continued(
+        "TRUE", "consumption", "energy_cons", "nrg_bal", chosen_method("chosen_points", 2, 6, 24)
     ),
     "clip_nonnegative": sql(
         """SELECT state, date, CASE WHEN deficit < 0 THEN 0 ELSE deficit END AS deficit

@@ -19,6 +19,7 @@ from balance_spark.operators.forecast import (
     forecast_auto,
     forecast_category,
     forecast_seasonal,
+    forecast_smoothed,
     forecast_state,
     with_forecast,
 )
@@ -195,9 +196,18 @@ def top_states(spark, folder):
 
 
 def forecast_auto_all(spark, folder):
-    return forecast_auto(
-        _points(star.production(spark, folder), PRODUCTION), PRODUCTION_FORECAST
-    )
+    points = _points(star.production(spark, folder), PRODUCTION)
+    return rounded(forecast_auto(points, PRODUCTION_FORECAST), 3)
+
+
+def forecast_smoothed_all(spark, folder):
+    points = _points(star.production(spark, folder), PRODUCTION)
+    return rounded(forecast_smoothed(points, PRODUCTION_FORECAST), 3)
+
+
+def forecast_upsampled_smoothed(spark, folder):
+    points = _points(star.consumption(spark, folder), CONSUMPTION)
+    return rounded(forecast_smoothed(points, CONSUMPTION_FORECAST), 3)
 
 
 def forecast_seasonal_all(spark, folder):
@@ -206,8 +216,11 @@ def forecast_seasonal_all(spark, folder):
 
 
 def forecast_one_category(spark, folder):
-    return forecast_category(
-        star.production(spark, folder), PRODUCTION, PRODUCTION_FORECAST, PRODUCTION.total
+    return rounded(
+        forecast_category(
+            star.production(spark, folder), PRODUCTION, PRODUCTION_FORECAST, PRODUCTION.total
+        ),
+        3,
     )
 
 
@@ -219,8 +232,9 @@ def forecast_category_seasonal(spark, folder):
 
 
 def forecast_one_state(spark, folder):
-    return forecast_state(
-        star.production(spark, folder), PRODUCTION, PRODUCTION_FORECAST, AGGREGATE
+    return rounded(
+        forecast_state(star.production(spark, folder), PRODUCTION, PRODUCTION_FORECAST, AGGREGATE),
+        3,
     )
 
 
@@ -248,9 +262,8 @@ def upsample_interpolate(spark, folder):
 
 
 def forecast_upsampled(spark, folder):
-    return forecast_auto(
-        _points(star.consumption(spark, folder), CONSUMPTION), CONSUMPTION_FORECAST
-    )
+    points = _points(star.consumption(spark, folder), CONSUMPTION)
+    return rounded(forecast_auto(points, CONSUMPTION_FORECAST), 3)
 
 
 def forecast_upsampled_seasonal(spark, folder):
@@ -259,7 +272,8 @@ def forecast_upsampled_seasonal(spark, folder):
 
 
 def forecast_consumption(spark, folder):
-    return with_forecast(star.consumption(spark, folder), CONSUMPTION, CONSUMPTION_FORECAST)
+    table = with_forecast(star.consumption(spark, folder), CONSUMPTION, CONSUMPTION_FORECAST)
+    return rounded(table, 3)
 
 
 def forecast_consumption_next_year(spark, folder):
@@ -614,6 +628,8 @@ QUERIES = {
     "top_states": top_states,
     "forecast_auto": forecast_auto_all,
     "forecast_seasonal": forecast_seasonal_all,
+    "forecast_smoothed": forecast_smoothed_all,
+    "forecast_upsampled_smoothed": forecast_upsampled_smoothed,
     "forecast_category": forecast_one_category,
     "forecast_category_seasonal": forecast_category_seasonal,
     "forecast_state": forecast_one_state,
