@@ -103,28 +103,34 @@ def seasonal_profile(grid: DataFrame, plan: ForecastPlan) -> DataFrame:
     )
 
 
-def _line_ahead(plan: ForecastPlan) -> Column:
-    """The array of ``k, value, half`` of a row of ``seasonal_profile``.
+def _ahead(fits: DataFrame, plan: ForecastPlan) -> DataFrame:
+    """Every fit once for each step ``k`` ahead."""
+    return fits.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(plan.horizon))))
+
+
+def _line_ahead(profile: DataFrame, plan: ForecastPlan) -> DataFrame:
+    """The steps of rows of ``seasonal_profile`` with ``value`` and ``half`` width.
 
     The variance of a prediction is that of the leftovers, of the position's level and of the
     slope, which counts the more the farther a step is from the position's mean date.
     """
-    width = _normal_width(plan.level)
-
-    def step(k):
-        t = F.col("last_t") + k
-        mean = F.coalesce(
-            F.try_element_at("means", t % plan.season), F.try_element_at("means", F.lit(0))
-        )
-        away = t - mean["t"]
-        spread = 1 + 1 / mean["n"] + F.coalesce(F.try_divide(away * away, "tt"), F.lit(0.0))
-        return F.struct(
-            k.alias("k"),
-            (mean["y"] + F.col("slope") * away).alias("value"),
-            (F.col("sd") * F.sqrt(spread) * width).alias("half"),
+    t = F.col("last_t") + F.col("k")
+    mean = F.coalesce(
+        F.try_element_at("means", t % plan.season), F.try_element_at("means", F.lit(0))
+    )
+    away = F.col("away")
+    spread = 1 + 1 / F.col("mean.n") + F.coalesce(F.try_divide(away * away, "tt"), F.lit(0.0))
+    return (
+        _ahead(profile, plan)
+        .withColumn("mean", mean)
+        .withColumn("away", t - F.col("mean.t"))
+        .withColumns(
+            {
+                "value": F.col("mean.y") + F.col("slope") * away,
+                "half": F.col("sd") * F.sqrt(spread) * _normal_width(plan.level),
+            }
         )
-
-    return F.transform(F.sequence(F.lit(1), F.lit(plan.horizon)), step)
+    )
 
 
 def _score(parameters) -> Column:
@@ -136,38 +142,31 @@ def _score(parameters) -> Column:
     return F.when(n > p + 1, n * F.log(error) + 2 * p + 2 * p * (p + 1) / (n - p - 1))
 
 
-def _line_fit(points: DataFrame, plan: ForecastPlan, method: str) -> DataFrame:
-    """One row per series: ``unique_id, last, method, score, steps`` of a fitted line."""
+_STEPS = ("unique_id", "last", "method", "k", "value", "half", "score")
+
+
+def _line_steps(points: DataFrame, plan: ForecastPlan, method: str) -> DataFrame:
+    """``_STEPS`` of a fitted line, with or without seasons."""
     season = plan.season if method == "seasonal" else 1
     plan = replace(plan, season=season)
     fit = seasonal_profile(upsample(points, plan.step_months), plan)
     score = _score(F.col("phases") + 2)
     if method == "seasonal":
         score = F.when(F.col("phases") > 1, score)  # otherwise it is the trend
-    return fit.withColumn("errors", F.col("length")).select(
-        "unique_id", "last", F.lit(method).alias("method"), score.alias("score"),
-        _line_ahead(plan).alias("steps"),
-    )
+    fit = fit.withColumn("errors", F.col("length")).withColumn("score", score)
+    return _line_ahead(fit, plan).withColumn("method", F.lit(method)).select(*_STEPS)
 
 
-def _smooth_fit(points: DataFrame, plan: ForecastPlan) -> DataFrame:
-    """The same by smoothing."""
-    power = F.aggregate("y", F.lit(0.0), lambda total, v: total + v * v)
-    series = series_rows(points, plan)
-    fit = smoothed(series.withColumn("last", F.struct("last", power.alias("power"))), plan)
-    fit = fit.withColumns(
-        {"power": F.col("last.power"), "last": F.col("last.last"), "squares": F.col("state.squares")}
-    )
+def _smooth_steps(points: DataFrame, plan: ForecastPlan) -> DataFrame:
+    """``_STEPS`` by smoothing."""
     parameters = F.when(F.col("period") > 1, plan.season + 6).otherwise(5)
-    return fit.select(
-        "unique_id", "last", F.lit("smoothed").alias("method"), _score(parameters).alias("score"),
-        steps_ahead(plan, _normal_width(plan.level)).alias("steps"),
-    )
+    fit = smoothed(series_rows(points, plan), plan).withColumn("squares", F.col("state.squares"))
+    fit = fit.withColumns({"score": _score(parameters), "method": F.lit("smoothed")})
+    return steps_ahead(_ahead(fit, plan), _normal_width(plan.level)).select(*_STEPS)
 
 
-def _unrolled(fits: DataFrame, plan: ForecastPlan) -> DataFrame:
-    """One row per series and step of rows with ``steps``."""
-    return fits.select("unique_id", "last", "method", F.inline("steps")).select(
+def _dated(steps: DataFrame, plan: ForecastPlan) -> DataFrame:
+    return steps.select(
         "unique_id",
         "last",
         F.add_months("last", F.col("k") * plan.step_months).alias("date"),
@@ -180,17 +179,17 @@ def _unrolled(fits: DataFrame, plan: ForecastPlan) -> DataFrame:
 
 def forecast_trend(points: DataFrame, plan: ForecastPlan) -> DataFrame:
     """A straight line."""
-    return _unrolled(_line_fit(points, plan, "trend"), plan)
+    return _dated(_line_steps(points, plan, "trend"), plan)
 
 
 def forecast_seasonal(points: DataFrame, plan: ForecastPlan) -> DataFrame:
     """Trend plus seasonal level; without two full seasons the trend."""
-    return _unrolled(_line_fit(points, plan, "seasonal"), plan)
+    return _dated(_line_steps(points, plan, "seasonal"), plan)
 
 
 def forecast_smoothed(points: DataFrame, plan: ForecastPlan) -> DataFrame:
     """Additive smoothing of level, trend and season."""
-    return _unrolled(_smooth_fit(points, plan), plan)
+    return _dated(_smooth_steps(points, plan), plan)
 
 
 def forecast_auto(points: DataFrame, plan: ForecastPlan) -> DataFrame:
@@ -201,20 +200,16 @@ def forecast_auto(points: DataFrame, plan: ForecastPlan) -> DataFrame:
     """
     partitions = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     points = points.repartition(partitions, "unique_id")
-    fits = [
-        _line_fit(points, plan, "trend").withColumn(
-            "score", F.coalesce("score", F.lit(float("inf")))
-        ),
-        _line_fit(points, plan, "seasonal"),
-        _smooth_fit(points, plan),
-    ]
-    ranked = [f.withColumn("rank", F.lit(k)).filter("score IS NOT NULL") for k, f in enumerate(fits)]
-    chosen = F.min_by(F.struct("last", "method", "steps"), F.struct("score", "rank"))
-    best = (
-        ranked[0].unionByName(ranked[1]).unionByName(ranked[2])
-        .groupBy("unique_id").agg(chosen.alias("fit")).select("unique_id", "fit.*")
+    without = F.coalesce("score", F.lit(float("inf")))
+    steps = (
+        _line_steps(points, plan, "trend").withColumns({"score": without, "rank": F.lit(0)})
+        .unionByName(_line_steps(points, plan, "seasonal").withColumn("rank", F.lit(1)))
+        .unionByName(_smooth_steps(points, plan).withColumn("rank", F.lit(2)))
+        .filter("score IS NOT NULL")
     )
-    return _unrolled(best, plan)
+    own = F.struct("score", "rank")
+    best = steps.withColumn("best", F.min(own).over(Window.partitionBy("unique_id")))
+    return _dated(best.filter(F.col("best.rank") == F.col("rank")), plan)
 
 
 def series_rows(points: DataFrame, plan: ForecastPlan) -> DataFrame:

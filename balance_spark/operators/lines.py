@@ -42,6 +42,21 @@ def pivot_lines(
     return table.groupBy("date").pivot(column, list(values)).agg(F.sum(measure.value))
 
 
+def map_lines(table: DataFrame, measure: Measure, column: str) -> DataFrame:
+    """One row per date with a map from every state or category there is to its sum.
+
+    The same as ``pivot_lines`` where the columns are not known beforehand: whatever the
+    table holds is there, and no job looks for names.  Rows without a name have no line.
+    """
+    sums = (
+        table.filter(F.col(column).isNotNull())
+        .groupBy("date", column)
+        .agg(F.sum(measure.value).alias("sum"))
+    )
+    entries = F.array_sort(F.collect_list(F.struct(column, "sum")))
+    return sums.groupBy("date").agg(F.map_from_entries(entries).alias("values"))
+
+
 def last_point(table: DataFrame, key: str) -> DataFrame:
     """The forecast row with the latest date, per state or category."""
     row = F.struct(*table.columns)
@@ -110,16 +125,22 @@ def stacked_area(
     if after is not None:
         limit = F.lit(after).cast("date")
         table = table.filter(F.col("date") >= limit if inclusive else F.col("date") > limit)
-    value = F.col(measure.value)
     upwards = (
         Window.partitionBy("state", "date")
         .orderBy(measure.category, "predicted", measure.value)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    columns = table.columns
+    others = [name for name in columns if name not in ("state", "date")]
+    # A set per (state, date) drops the copies before the shuffle and leaves the rows where
+    # the running total needs them: one shuffle does for both.
     return (
         only_states(table, states)
         .filter(F.col(measure.category).isin(*parts))
-        .withColumn(measure.value, whole(value))
-        .distinct()
+        .withColumn(measure.value, whole(F.col(measure.value)))
+        .groupBy("state", "date")
+        .agg(F.collect_set(F.struct(*others)).alias("rows"))
+        .select("state", "date", F.inline("rows"))
+        .select(*columns)
         .withColumn("stacked_to", F.sum(measure.value).over(upwards))
     )

@@ -30,15 +30,36 @@ def _series():
     return Window.partitionBy("unique_id").orderBy("ds")
 
 
-def _segments(points: DataFrame, step_months: int) -> DataFrame:
-    """Points on the grid with the number of steps to the next one (``steps``)."""
+def _on_grid(points: DataFrame, step_months: int, off_grid: str) -> DataFrame:
+    """Points on the grid that begins with the first point, with their ``offset`` in months.
+
+    Points between two grid dates count, by ``off_grid``, with the date before them, the
+    values of a date averaged ("mean"); not at all ("drop"); or are an error ("error").
+    """
     month = month_number(F.col("ds"))
-    on_grid = (
-        points.withColumn("offset", month - F.first(month).over(_series()))
-        .filter(F.col("offset") % step_months == 0)
-    )
+    placed = points.withColumn("offset", month - F.first(month).over(_series()))
+    if step_months == 1:
+        return placed
+    beyond = F.col("offset") % step_months
+    if off_grid == "drop":
+        return placed.filter(beyond == 0)
+    if off_grid == "error":
+        missed = F.concat(F.lit("not on the grid: "), "unique_id", F.lit(" "), F.col("ds").cast("string"))
+        return placed.withColumn("offset", F.when(beyond == 0, F.col("offset")).otherwise(F.raise_error(missed)))
+    if off_grid != "mean":
+        raise ValueError(f"off_grid must be 'mean', 'drop' or 'error', not {off_grid!r}")
+    # The window above has brought each series together, so this shuffles nothing.
+    return placed.groupBy(
+        "unique_id",
+        F.add_months("ds", -beyond).alias("ds"),
+        (F.col("offset") - beyond).alias("offset"),
+    ).agg(F.avg("y").alias("y"))
+
+
+def _segments(points: DataFrame, step_months: int, off_grid: str) -> DataFrame:
+    """Points on the grid with the number of steps to the next one (``steps``)."""
     gap = (F.lead("offset").over(_series()) - F.col("offset")) / step_months
-    return on_grid.withColumn("steps", gap.cast("int"))
+    return _on_grid(points, step_months, off_grid).withColumn("steps", gap.cast("int"))
 
 
 def _unroll(segments: DataFrame, step_months: int) -> DataFrame:
@@ -50,12 +71,12 @@ def _unroll(segments: DataFrame, step_months: int) -> DataFrame:
     )
 
 
-def date_grid(points: DataFrame, step_months: int) -> DataFrame:
+def date_grid(points: DataFrame, step_months: int, off_grid: str = "mean") -> DataFrame:
     """All dates from the first to the last point of a series; new dates have no value.
 
-    Points between the grid dates are left out, as in a left join onto the grid.
+    ``off_grid`` says what becomes of points between the grid dates (see ``_on_grid``).
     """
-    return _unroll(_segments(points, step_months), step_months).select(
+    return _unroll(_segments(points, step_months, off_grid), step_months).select(
         "unique_id", "ds", F.when(F.col("k") == 0, F.col("y")).alias("y")
     )
 
@@ -83,12 +104,12 @@ def forward_fill(grid: DataFrame) -> DataFrame:
     return grid.withColumn("y", F.last("y", ignorenulls=True).over(rows_before))
 
 
-def upsample(points: DataFrame, step_months: int) -> DataFrame:
+def upsample(points: DataFrame, step_months: int, off_grid: str = "mean") -> DataFrame:
     """``date_grid`` and ``interpolate`` in one step for points that all have a value.
 
     Each point knows its successor, so the line is drawn while the grid is unrolled.
     """
-    segments = _segments(points.filter(F.col("y").isNotNull()), step_months)
+    segments = _segments(points.filter(F.col("y").isNotNull()), step_months, off_grid)
     drawn = segments.withColumn("rise", F.lead("y").over(_series()) - F.col("y"))
     share = F.try_divide(F.col("k"), F.col("steps"))
     value = F.when(F.col("k") == 0, F.col("y")).otherwise(F.col("y") + F.col("rise") * share)

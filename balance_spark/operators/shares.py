@@ -69,6 +69,23 @@ def share_table(shared: DataFrame, measure: Measure, states: Sequence[str]) -> D
     )
 
 
+def share_map(shared: DataFrame, measure: Measure) -> DataFrame:
+    """Per (date, category) a map from every state to its label, share and value.
+
+    The same as ``share_table`` where the states are not known beforehand.
+    """
+    row = F.struct("label", "percentage", measure.value)
+    entries = F.array_sort(F.collect_list(F.struct("state", row.alias("row"))))
+    return (
+        shared.filter(F.col("state").isNotNull())
+        .groupBy("date", measure.category, "state")
+        .agg(F.min(row).alias("row"))
+        .select("date", measure.category, "state", "row.*")
+        .groupBy("date", measure.category)
+        .agg(F.map_from_entries(entries).alias("states"))
+    )
+
+
 def completeness(
     table: DataFrame,
     measure: Measure,

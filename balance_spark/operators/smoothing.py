@@ -22,68 +22,70 @@ TREND_RATES = (0.0, 0.05, 0.2)
 SEASON_RATES = (0.0, 0.1, 0.3)
 
 
-def _average(values: Column, size) -> Column:
-    """The mean by adding up in order."""
-    return F.aggregate(values, F.lit(0.0), lambda total, v: total + v) / size
+#: One value: what was expected misses it by ``e``, which moves level, trend and season.
+_STEP = """
+    transform(
+        array(v - (s.level + s.trend + s.seasons[0])),
+        e -> named_struct(
+            'level', s.level + s.trend + rate.level * e,
+            'trend', s.trend + rate.level * rate.trend * e,
+            'seasons', concat(
+                slice(s.seasons, 2, size(s.seasons) - 1),
+                array(s.seasons[0] + rate.season * (1 - rate.level) * e)
+            ),
+            'squares', s.squares + e * e
+        )
+    )[0]"""
 
 
-def _first_state(y: Column, season: int) -> Column:
+def _first_state(season: int) -> Column:
     """Level, trend and seasons from the first two seasons; without these, no season."""
-    one = _average(F.slice(y, 1, season), F.lit(season))
-    two = _average(F.slice(y, season + 1, season), F.lit(season))
-    seasonal = F.struct(
-        one.alias("level"),
-        ((two - one) / season).alias("trend"),
-        F.transform(F.slice(y, 1, season), lambda v: v - one).alias("seasons"),
-        F.lit(0.0).alias("squares"),
-    )
-    plain = F.struct(
-        y[0].alias("level"),
-        F.when(F.size(y) > 2, F.get(y, F.lit(1)) - y[0]).otherwise(0.0).alias("trend"),
-        F.array(F.lit(0.0)).alias("seasons"),
-        F.lit(0.0).alias("squares"),
+    return F.expr(
+        f"""
+        if(size(y) >= {2 * season},
+           transform(
+               array(named_struct(
+                   'one', aggregate(slice(y, 1, {season}), 0D, (total, v) -> total + v) / {season},
+                   'two', aggregate(slice(y, {season + 1}, {season}), 0D, (total, v) -> total + v)
+                          / {season})),
+               m -> named_struct(
+                   'level', m.one,
+                   'trend', (m.two - m.one) / {season},
+                   'seasons', transform(slice(y, 1, {season}), v -> v - m.one),
+                   'squares', 0D))[0],
+           named_struct(
+               'level', y[0],
+               'trend', if(size(y) > 2, get(y, 1) - y[0], 0D),
+               'seasons', array(0D),
+               'squares', 0D))"""
     )
-    return F.when(F.size(y) >= 2 * season, seasonal).otherwise(plain)
-
-
-def _step(state: Column, v: Column, rates: Column) -> Column:
-    error = v - (state.level + state.trend + state.seasons[0])
-    ahead = state.seasons[0] + rates["season"] * (1 - rates["level"]) * error
-    return F.struct(
-        (state.level + state.trend + rates["level"] * error).alias("level"),
-        (state.trend + rates["level"] * rates["trend"] * error).alias("trend"),
-        F.concat(
-            F.slice(state.seasons, F.lit(2), F.size(state.seasons) - 1), F.array(ahead)
-        ).alias("seasons"),
-        (state.squares + error * error).alias("squares"),
+
+
+def _rates() -> Column:
+    combinations = ", ".join(
+        f"named_struct('level', {a}D, 'trend', {b}D, 'season', {g}D)"
+        for a, b, g in product(LEVEL_RATES, TREND_RATES, SEASON_RATES)
     )
+    return F.expr(f"explode(array({combinations}))")
 
 
 def smoothed(series: DataFrame, plan: ForecastPlan) -> DataFrame:
     """``series`` (``unique_id, last, y``) with the best ``rates``, the last ``state``, the
-    ring's length ``period`` and the number of one-step ``errors``.
+    ring's length ``period``, the number of one-step ``errors``, and ``length`` and ``power``
+    (the sum of the squares) of the values.
 
     Without two full seasons there is no season, below three values no trend.
     """
-    y = F.col("y")
-    period = F.when(F.size(y) >= 2 * plan.season, plan.season).otherwise(1)
-    rates = F.array(
-        *[
-            F.struct(F.lit(a).alias("level"), F.lit(b).alias("trend"), F.lit(g).alias("season"))
-            for a, b, g in product(LEVEL_RATES, TREND_RATES, SEASON_RATES)
-        ]
-    )
-    run = series.withColumns({"period": period, "first": _first_state(y, plan.season)}).withColumn(
-        "rates", F.explode(rates)
-    )
-    state = F.aggregate(
-        F.slice("y", F.col("period") + 1, F.size("y")),
-        F.col("first"),
-        lambda state, v: _step(state, v, F.col("rates")),
+    period = F.when(F.size("y") >= 2 * plan.season, plan.season).otherwise(1)
+    run = series.withColumns({"period": period, "first": _first_state(plan.season)}).withColumn(
+        "rate", _rates()
     )
+    state = F.expr(f"aggregate(slice(y, period + 1, size(y)), first, (s, v) -> {_STEP})")
     errors = (F.size("y") - F.col("period")).alias("errors")
-    kept = F.struct("last", "rates", "state", "period", errors, F.size("y").alias("length"))
-    best = F.struct("state.squares", "rates")
+    power = F.expr("aggregate(y, 0D, (total, v) -> total + v * v)").alias("power")
+    length = F.size("y").alias("length")
+    kept = F.struct("last", F.col("rate").alias("rates"), "state", "period", errors, length, power)
+    best = F.struct("state.squares", "rate")
     return (
         run.withColumn("state", state)
         .groupBy("unique_id")
@@ -92,27 +94,27 @@ def smoothed(series: DataFrame, plan: ForecastPlan) -> DataFrame:
     )
 
 
-def steps_ahead(plan: ForecastPlan, width: float) -> Column:
-    """The array of ``k, value, half`` of a row of ``smoothed``.
+def steps_ahead(steps: DataFrame, width: float) -> DataFrame:
+    """``value`` and ``half`` width of rows of ``smoothed`` for each step ``k``.
 
     A one-step error moves what is expected j steps later by a known share; the squared
     shares add up to the variance, so the interval widens with the step.
     """
-    a, b = F.col("rates.level"), F.col("rates.trend")
-    g = F.when(F.col("period") > 1, F.col("rates.season") * (1 - a)).otherwise(0.0)
-    period, state = F.col("period"), F.col("state")
+    a, b, g = F.col("rates.level"), F.col("rates.trend"), F.col("g")
+    state, period, j, turns = F.col("state"), F.col("period"), F.col("j"), F.col("turns")
+    line = a * a * (j + b * j * (j + 1) + b * b * j * (j + 1) * (2 * j + 1) / 6)
+    season = 2 * g * (a * turns + a * b * period * turns * (turns + 1) / 2) + g * g * turns
     error = F.coalesce(F.try_divide(state["squares"], F.col("errors")), F.lit(0.0))
-
-    def step(k):
-        j = (k - 1).cast("double")
-        turns = F.floor((k - 1) / period).cast("double")
-        line = a * a * (j + b * j * (j + 1) + b * b * j * (j + 1) * (2 * j + 1) / 6)
-        season = 2 * g * (a * turns + a * b * period * turns * (turns + 1) / 2) + g * g * turns
-        place = (k - 1) % period
-        return F.struct(
-            k.alias("k"),
-            (state["level"] + k * state["trend"] + F.get(state["seasons"], place)).alias("value"),
-            (F.sqrt(error * (1 + line + season)) * width).alias("half"),
-        )
-
-    return F.transform(F.sequence(F.lit(1), F.lit(plan.horizon)), step)
+    place = ((F.col("k") - 1) % period).cast("int")
+    return steps.withColumns(
+        {
+            "g": F.when(period > 1, F.col("rates.season") * (1 - a)).otherwise(0.0),
+            "j": (F.col("k") - 1).cast("double"),
+            "turns": F.floor((F.col("k") - 1) / period).cast("double"),
+        }
+    ).withColumns(
+        {
+            "value": state["level"] + F.col("k") * state["trend"] + F.get(state["seasons"], place),
+            "half": F.sqrt(error * (1 + line + season)) * width,
+        }
+    )

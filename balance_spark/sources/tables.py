@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -40,3 +43,50 @@ def write_tidy(table: DataFrame, path: str, category: str) -> None:
 
 def read_tidy(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
+
+
+def written(table: DataFrame, name: str = "table") -> DataFrame:
+    """The table, computed once and read back from the shared folder."""
+    path = new_folder(table.sparkSession, name)
+    table.write.parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
+
+
+def revise_tidy(
+    path: str,
+    revision: DataFrame,
+    category: str,
+    version: str,
+    keys: Sequence[str] = ("unique_id", "date"),
+) -> None:
+    """Bring revised observations into a written tidy table: the last revision of a cell wins.
+
+    A cell is a category and ``keys``; of its rows, written and new, the one with the highest
+    ``version`` (such as the date it was loaded) stays, the written one if equal, of new ones
+    the greatest row.  A NULL version is the lowest.  Only partitions (categories) in which a
+    row changes are written again; the files of all others stay as they are.  Written rows of
+    categories that the revision does not touch are not even read.
+    """
+    columns = revision.columns
+    spark = revision.sparkSession
+    current = spark.read.schema(revision.schema).parquet(path).select(*columns)
+    touched = revision.select(category).distinct()
+    known = current.join(touched, current[category].eqNullSafe(touched[category]), "left_semi")
+    rows = known.withColumn("_new", F.lit(False)).unionByName(revision.withColumn("_new", F.lit(True)))
+    others = [name for name in columns if name not in (category, *keys)]
+    row = F.struct("_new", *others)
+    cells = (
+        rows.groupBy(category, *keys)
+        .agg(F.max_by(row, F.struct(F.col(version), ~F.col("_new"), row)).alias("_row"))
+        .select(category, *keys, "_row.*")
+    )
+    changed = cells.filter("_new").select(F.col(category).alias("_changed")).distinct()
+    kept = cells.join(changed, F.col(category).eqNullSafe(F.col("_changed")), "left_semi")
+    (
+        kept.select(*columns)
+        .hint("rebalance", category)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(category)
+        .parquet(path)
+    )

@@ -19,6 +19,7 @@ from balance_spark.sources.star import (
 from balance_spark.verify.queries import (
     DEFAULT_STATES,
     FORECAST_MONTH,
+    REVISIONS,
     SINCE,
     SOME_PARTS,
     YEAR,
@@ -175,6 +176,18 @@ def grid(points: str, step: int) -> dict[str, str]:
     }
 
 
+def on_grid(points: str, step: int) -> dict[str, str]:
+    """Points moved to the last grid date before them and averaged."""
+    return {
+        "moved": f"""
+            SELECT unique_id, y, first, date_diff('month', first, ds) // {step} * {step} AS off
+            FROM (SELECT *, MIN(ds) OVER (PARTITION BY unique_id) AS first FROM {points}) AS t""",
+        "aligned": """
+            SELECT unique_id, CAST(first + to_months(CAST(off AS INTEGER)) AS DATE) AS ds, AVG(y) AS y
+            FROM moved GROUP BY ALL""",
+    }
+
+
 def fitted(prefix: str, season: int, horizon: int, step: int) -> dict[str, str]:
     """Tables of a line fitted to ``grid``, with a level per position of the season."""
     p = prefix
@@ -748,6 +761,39 @@ ORACLES = {
                   state || ';' || siec AS unique_id
            FROM supply WHERE energy_prod > 0"""
     ),
+    "revised_table": sql(
+        f"""SELECT siec, state, date, unique_id,
+                   energy_prod * COALESCE(times, 1) AS energy_prod,
+                   COALESCE(loaded, DATE '2024-01-01') AS loaded
+            FROM production LEFT JOIN revision
+                 ON siec = category AND year(date) = 1996 AND loaded > DATE '2024-01-01'""",
+        revision=f"""SELECT category, CAST(loaded AS DATE) AS loaded, times
+                     FROM (VALUES {', '.join(map(str, REVISIONS))}) AS r(category, loaded, times)""",
+    ),
+    "date_grid_monthly": sql(
+        "SELECT unique_id, ds, round(known, 6) AS y FROM grid",
+        totals="SELECT unique_id, date AS ds, energy_prod AS y FROM production WHERE siec = 'TOTAL'",
+        **on_grid("totals", 2), **grid("aligned", 2),
+    ),
+    "upsample_monthly": sql(
+        "SELECT unique_id, ds, round(y, 6) AS y FROM grid",
+        **on_grid("production_points", 3), **grid("aligned", 3),
+    ),
+    "lines_map": sql(
+        """SELECT date, string_agg(state, ',' ORDER BY state) AS states,
+                  string_agg(CAST(CAST(energy_prod AS DECIMAL(38,2)) AS VARCHAR), ',' ORDER BY state)
+                    AS sums
+           FROM production WHERE siec = 'TOTAL' GROUP BY date"""
+    ),
+    "sector_share_map": sql(
+        f"""SELECT date, nrg_bal, string_agg(state, ',' ORDER BY state) AS states,
+                   string_agg(label, ',' ORDER BY state) AS labels,
+                   string_agg(CAST(CAST(percentage AS DECIMAL(38,2)) AS VARCHAR), ',' ORDER BY state)
+                     AS percentages,
+                   string_agg(CAST(CAST(energy_cons AS DECIMAL(38,2)) AS VARCHAR), ',' ORDER BY state)
+                     AS sums
+            FROM ({SECTOR_SHARE}) AS t GROUP BY date, nrg_bal"""
+    ),
     "upsample_daily": sql(
         "SELECT unique_id, ds, round(y, 6) AS y FROM grid",
         daily="""SELECT n_name AS unique_id, CAST(date_trunc('month', o_orderdate) AS DATE) AS ds,

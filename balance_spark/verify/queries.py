@@ -32,7 +32,7 @@ from balance_spark.plans.reports import (
 )
 from balance_spark.sources import star, wide
 from balance_spark.sources.dims import labels
-from balance_spark.sources.tables import new_folder
+from balance_spark.sources.tables import new_folder, revise_tidy, write_tidy, written
 from balance_spark.specs import (
     AGGREGATE,
     BALANCE,
@@ -46,6 +46,8 @@ YEAR = "2000-01-01"
 SINCE = "1997-01-01"
 FORECAST_MONTH = "2001-07-01"
 DEFAULT_STATES = ("NATION 1", "NATION 7", "NATION 13", "NATION 20")
+#: Category, day of loading and factor of each revision of 1996; the last one is stale.
+REVISIONS = (("PROMO", "2024-03-01", 2), ("TOTAL", "2024-02-01", 3), ("SMALL", "2023-01-01", 9))
 #: Parts that do not explain the whole total.
 SOME_PARTS = star.PRODUCT_TYPES[:-1]
 
@@ -319,6 +321,62 @@ def tidy_text(spark, folder):
     return wide.tidy_files(spark, f"{path}/*.tsv", PRODUCTION_SOURCE, with_flag=True)
 
 
+def revised_table(spark, folder):
+    """A written table after two revisions: later values, stale ones, and repeated cells."""
+    path = new_folder(spark, "revised")
+    table = star.production(spark, folder).withColumn("loaded", F.lit("2024-01-01").cast("date"))
+    write_tidy(table, path, "siec")
+    for category, loaded, times in REVISIONS:
+        chosen = table.filter((F.col("siec") == category) & (F.year("date") == 1996))
+        revision = chosen.withColumns(
+            {"loaded": F.lit(loaded).cast("date"), "energy_prod": F.col("energy_prod") * times}
+        )
+        revise_tidy(path, revision, "siec", "loaded")
+    back = spark.read.schema(table.schema).parquet(path)
+    return rounded(back.select(*table.columns))
+
+
+def date_grid_monthly(spark, folder):
+    """Monthly totals on a grid of two months."""
+    points = _points(
+        star.production(spark, folder).filter(F.col("siec") == PRODUCTION.total), PRODUCTION
+    )
+    return rounded(resample.date_grid(points, 2))
+
+
+def upsample_monthly(spark, folder):
+    return rounded(resample.upsample(_points(star.production(spark, folder), PRODUCTION), 3))
+
+
+def _spelled(value):
+    return value.cast("decimal(38,2)").cast("string")
+
+
+def lines_map(spark, folder):
+    """Totals of every state side by side, names and sums as text."""
+    table = star.production(spark, folder).filter(F.col("siec") == PRODUCTION.total)
+    found = lines.map_lines(table, PRODUCTION, "state")
+    return found.select(
+        "date",
+        F.concat_ws(",", F.map_keys("values")).alias("states"),
+        F.concat_ws(",", F.transform(F.map_values("values"), _spelled)).alias("sums"),
+    )
+
+
+def sector_share_map(spark, folder):
+    """Shares of every state side by side, as text."""
+    found = shares.share_map(_sector_share(spark, folder), CONSUMPTION)
+    rows = F.map_values("states")
+    return found.select(
+        "date",
+        "nrg_bal",
+        F.concat_ws(",", F.map_keys("states")).alias("states"),
+        F.concat_ws(",", F.transform(rows, lambda r: r["label"])).alias("labels"),
+        F.concat_ws(",", F.transform(rows, lambda r: _spelled(r["percentage"]))).alias("percentages"),
+        F.concat_ws(",", F.transform(rows, lambda r: _spelled(r["energy_cons"]))).alias("sums"),
+    )
+
+
 def upsample_daily(spark, folder):
     """Order values of every day, averaged per month and put on the monthly grid."""
     orders, customer = star.read(spark, folder, "orders"), star.read(spark, folder, "customer")
@@ -649,6 +707,11 @@ QUERIES = {
     "state_code": state_code,
     "default_states": default_states,
     "tidy_text": tidy_text,
+    "revised_table": revised_table,
+    "date_grid_monthly": date_grid_monthly,
+    "upsample_monthly": upsample_monthly,
+    "lines_map": lines_map,
+    "sector_share_map": sector_share_map,
     "upsample_daily": upsample_daily,
     "map_table": map_table,
     "map_domain": map_domain,

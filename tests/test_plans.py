@@ -16,7 +16,7 @@ from balance_spark.verify.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 #: Queries that write files and read them again, which takes jobs of its own.
-WRITERS = {"tidy_text"}
+WRITERS = {"tidy_text", "revised_table"}
 
 
 @contextmanager

@@ -1,5 +1,6 @@
 from datetime import date
 
+import pytest
 from pyspark.sql import functions as F
 
 from balance_spark.operators import resample
@@ -36,11 +37,37 @@ def test_off_grid_points_are_left_out(spark, rows):
     table = points(
         spark, (date(2020, 1, 1), 1.0), (date(2020, 2, 1), 99.0), (date(2020, 5, 1), 3.0)
     )
-    assert rows(date_grid(table, 2), "ds", "y") == [
+    assert rows(date_grid(table, 2, off_grid="drop"), "ds", "y") == [
         (date(2020, 1, 1), 1.0), (date(2020, 3, 1), None), (date(2020, 5, 1), 3.0),
     ]
 
 
+def test_off_grid_points_count_with_the_date_before(spark, rows):
+    table = points(
+        spark, (date(2020, 1, 1), 1.0), (date(2020, 2, 1), 99.0), (date(2020, 4, 1), 7.0),
+        (date(2020, 9, 1), 3.0),
+    )
+    assert rows(date_grid(table, 2), "ds", "y") == [
+        (date(2020, 1, 1), 50.0), (date(2020, 3, 1), 7.0), (date(2020, 5, 1), None),
+        (date(2020, 7, 1), None), (date(2020, 9, 1), 3.0),
+    ]
+    assert [r[0] for r in rows(upsample(table, 2).orderBy("ds"), "y")] == sorted(
+        [50.0, 7.0, 7 - 4 / 3, 7 - 8 / 3, 3.0], key=repr
+    )
+    assert rows(date_grid(table, 1), "y").count((None,)) == 5
+    with pytest.raises(Exception, match="not on the grid: DE;FC 2020-02-01"):
+        date_grid(table, 2, off_grid="error").collect()
+    with pytest.raises(ValueError):
+        date_grid(table, 2, off_grid="skip")
+
+
+def test_grid_shuffles_once(spark, tmp_path):
+    path = str(tmp_path / "points")
+    points(spark, (date(2020, 1, 1), 1.0), (date(2020, 2, 1), 2.0)).write.parquet(path)
+    plan = upsample(spark.read.parquet(path), 2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1, plan
+
+
 def test_fused_step_equals_its_parts(spark, rows):
     table = points(
         spark, (date(2019, 1, 1), 5.0), (date(2020, 1, 1), 1.0), (date(2023, 1, 1), -4.0)
