@@ -1,9 +1,10 @@
 """The three reports: which tables are combined, and in what order.
 
 Each takes tables that already hold actual and forecast rows (``with_forecast``) and
-returns named DataFrames; nothing runs until the caller asks for one.  A caller that
-shows several sections can write the forecast first (``sources.tables.write_tidy``), since
-every section reads it.
+returns named DataFrames; nothing runs until the caller asks for one.  Several sections share
+the forecast and the yearly tables.  A caller that shows them all writes the forecast first and
+gives ``keep``, which is put around every yearly table: with ``sources.tables.written`` each is
+computed once, and the sections read it.
 """
 
 from __future__ import annotations
@@ -52,10 +53,14 @@ def yearly_balance(
     )
 
 
+def _as_it_is(table: DataFrame) -> DataFrame:
+    return table
+
+
 def balance_report(
-    produced: DataFrame, consumed: DataFrame, countries: DataFrame, date
+    produced: DataFrame, consumed: DataFrame, countries: DataFrame, date, keep=_as_it_is
 ) -> dict[str, DataFrame]:
-    yearly = cast_measure(yearly_balance(produced, consumed), BALANCE)
+    yearly = keep(cast_measure(yearly_balance(produced, consumed), BALANCE))
     chosen = top_states(yearly, BALANCE, BALANCE.total)
     shown = lines(yearly, BALANCE, chosen)
     on_map = map_values(yearly, BALANCE, date, BALANCE.total, countries)
@@ -83,10 +88,11 @@ def production_report(
     parts: Sequence[str],
     since,
     measure: Measure = PRODUCTION,
+    keep=_as_it_is,
 ) -> dict[str, DataFrame]:
     recent = produced.filter(F.col("date") >= F.lit(since).cast("date"))
     of_category = recent.filter(F.col(measure.category) == category)
-    yearly_category = annual(of_category, measure, collapse=True)
+    yearly_category = keep(annual(of_category, measure, collapse=True))
     on_map = map_values(yearly_category, measure, date, category, countries)
     chosen = top_states(yearly_category, measure, category)
     shown = lines(of_category, measure, chosen, category)
@@ -97,7 +103,7 @@ def production_report(
     shown_parts = of_state.withColumn(
         measure.value, F.when(is_total, value).otherwise(whole(value))
     )
-    yearly_state = cast_measure(annual(shown_parts, measure, collapse=True), measure)
+    yearly_state = keep(cast_measure(annual(shown_parts, measure, collapse=True), measure))
     this_year = yearly_state.filter(F.col("date") == F.lit(date).cast("date"))
     return {
         "years": year_domain(yearly_category),
@@ -126,8 +132,9 @@ def consumption_report(
     date,
     states=None,
     measure: Measure = CONSUMPTION,
+    keep=_as_it_is,
 ) -> dict[str, DataFrame]:
-    yearly = annual(consumed, measure, collapse=True)
+    yearly = keep(annual(consumed, measure, collapse=True))
     of_category = yearly.filter(F.col(measure.category) == category)
     on_map = map_values(of_category, measure, date, category, countries)
     compared = per_capita_vs_average(yearly, people, measure, labels, states=states, date=date)

@@ -6,6 +6,8 @@ shares no shortcut with the Spark side.
 
 from __future__ import annotations
 
+import re
+
 from balance_spark.operators.smoothing import LEVEL_RATES, SEASON_RATES, TREND_RATES
 from balance_spark.sources.star import (
     MEMBERS,
@@ -19,6 +21,7 @@ from balance_spark.sources.star import (
 from balance_spark.verify.queries import (
     DEFAULT_STATES,
     FORECAST_MONTH,
+    FORECAST_YEAR,
     REVISIONS,
     SINCE,
     SOME_PARTS,
@@ -484,94 +487,180 @@ YEARS = """
     LATERAL (SELECT UNNEST(range(a, b)) AS y) AS r"""
 
 
-def section(name: str, body: str, state="NULL", item="NULL", date="NULL", value="NULL") -> str:
+def section(
+    name: str, body: str, state="NULL", item="NULL", date="NULL", value="NULL", second="NULL"
+) -> str:
     return f"""
         SELECT '{name}' AS section, CAST({state} AS VARCHAR) AS state,
                CAST({item} AS VARCHAR) AS item, CAST({date} AS VARCHAR) AS date,
-               round(CAST({value} AS DOUBLE), 3) AS value
+               round(CAST({value} AS DOUBLE), 3) AS value,
+               round(CAST({second} AS DOUBLE), 3) AS second
         FROM ({body}) AS t"""
 
 
+def domain(name: str, body: str, value: str) -> str:
+    ends = f"SELECT MAX({value}) AS high, MIN({value}) AS low FROM ({body}) AS m"
+    return section(name, ends, value="high", second="low")
+
+
+def any_forecast(table: str) -> str:
+    found = f"SELECT COUNT(*) > 0 AS found FROM {table} WHERE predicted AND date = DATE '{YEAR}'"
+    return section("has_forecast", found, value="found")
+
+
 ALL_MAP_BALANCE = map_values("whole_balance", "deficit", "TRUE")
-REPORT_BALANCE = sql(
-    " UNION ALL ".join(
-        [
-            section("years", YEARS.format("yearly_balance"), value="year"),
-            section("map", ALL_MAP_BALANCE, "state", "id", value="deficit"),
-            section("map_domain", f"SELECT MAX(deficit) AS high FROM ({ALL_MAP_BALANCE}) AS m",
-                    value="high"),
-            section("lines", LINES_BALANCE, "state", "def_id", "date", "deficit"),
-            section("last_points", last_points("shown", "state"),
-                    "state", "def_id", "date", "deficit"),
-            section("ranking", RANKING, "state", "deficit_status", value="deficit"),
-            section("top", TOP_RANK, "state", date="date", value="rank"),
-        ]
-    ),
-    shown=LINES_BALANCE,
+#: The pages: their sections, and the tables that only they use.
+BALANCE_PAGE = (
+    [
+        section("years", YEARS.format("yearly_balance"), value="year"),
+        any_forecast("whole_balance"),
+        section("map", ALL_MAP_BALANCE, "state", "id", value="deficit"),
+        domain("map_domain", ALL_MAP_BALANCE, "deficit"),
+        section("lines", "SELECT * FROM shown", "state", "def_id", "date", "deficit", "predicted"),
+        section("last_points", last_points("shown", "state"),
+                "state", "def_id", "date", "deficit", "predicted"),
+        section("forecast_span", """SELECT MIN(date) AS a, MAX(date) AS b FROM shown
+                                    WHERE predicted""", item="b", date="a"),
+        section("ranking", RANKING.replace("yearly_balance", "whole_balance"),
+                "state", "deficit_status", value="deficit"),
+        section("top", TOP_RANK, "state", date="date", value="rank", second="deficit"),
+    ],
+    {"shown": LINES_BALANCE},
 )
 
 RECENT = f"date >= DATE '{SINCE}'"
 RECENT_TOTALS = f"SELECT * FROM flagged_production WHERE siec = 'TOTAL' AND {RECENT}"
-REPORT_PRODUCTION = sql(
-    " UNION ALL ".join(
-        [
-            section("years", YEARS.format("recent_total"), value="year"),
-            section("map", map_values("recent_annual", "energy_prod", "t.siec = 'TOTAL'"),
-                    "state", "id", value="energy_prod"),
-            section("lines", "SELECT * FROM shown", "state", "siec", "date", "energy_prod"),
-            section("last_points", last_points("shown", "state"),
-                    "state", "siec", "date", "energy_prod"),
-            section("average", f"SELECT * FROM average WHERE {RECENT}",
-                    "state", "siec", "date", "y2"),
-            section("average_domain",
-                    f"SELECT MAX(y2) + 0.3 * MAX(y2) AS high FROM average WHERE {RECENT}",
-                    value="high"),
-            section("stacked", stacked(f"state = '{AGG}' AND date > DATE '{SINCE}'"),
-                    "state", "siec", "date", "stacked_to"),
-            section("mix", f"SELECT * FROM ({PRODUCT_MIX}) AS m"
-                           f" WHERE state = '{AGG}' AND date = DATE '{YEAR}'",
-                    "state", "label", "date", "percentage"),
-            section("missing", completeness(
-                "state, date", f"state = '{AGG}' AND date = DATE '{YEAR}'", PRODUCT_TYPES),
-                    "state", date="date", value="missing_percentage"),
-            section("missing_all_years", completeness(
-                "state", f"state = '{AGG}' AND {RECENT}", PRODUCT_TYPES),
-                    "state", value="missing_percentage"),
-        ]
-    ),
-    recent_total=RECENT_TOTALS,
-    recent_annual=f"SELECT * FROM annual_production WHERE {RECENT}",
-    shown=f"""SELECT * FROM recent_total WHERE state IN (
-        SELECT state FROM ({top_states('recent_annual', 'energy_prod', 'siec', 'TOTAL')}))""",
-    average=MEMBER_AVERAGE,
+RECENT_MAP = map_values("recent_annual", "energy_prod", "t.siec = 'TOTAL'")
+RECENT_AVERAGE = f"SELECT * FROM average WHERE {RECENT}"
+PRODUCTION_PAGE = (
+    [
+        section("years", YEARS.format("recent_total"), value="year"),
+        any_forecast("recent_annual"),
+        section("map", RECENT_MAP, "state", "id", value="energy_prod"),
+        domain("map_domain", RECENT_MAP, "energy_prod"),
+        section("lines", "SELECT * FROM shown", "state", "siec", "date", "energy_prod", "predicted"),
+        section("last_points", last_points("shown", "state"),
+                "state", "siec", "date", "energy_prod", "predicted"),
+        section("average", RECENT_AVERAGE, "state", "siec", "date", "y2", "energy_prod"),
+        section("average_domain",
+                f"""SELECT MAX(y2) + 0.3 * MAX(y2) AS high, MIN(y2) - 0.3 * MIN(y2) AS low
+                    FROM ({RECENT_AVERAGE}) AS a""", value="high", second="low"),
+        section("stacked", stacked(f"state = '{AGG}' AND date > DATE '{SINCE}'"),
+                "state", "siec", "date", "stacked_to", "energy_prod"),
+        section("mix", share("state_annual", "energy_prod", "siec", "type_label",
+                             f"t.siec IN {_in(PRODUCT_TYPES)} AND t.date = DATE '{YEAR}'", 3),
+                "state", "label", "date", "percentage", "energy_prod"),
+        section("missing", completeness("state, date", f"date = DATE '{YEAR}'", PRODUCT_TYPES)
+                .replace("annual_production", "state_annual"),
+                "state", date="date", value="missing_percentage", second="total"),
+        section("missing_all_years", completeness("state", "TRUE", PRODUCT_TYPES)
+                .replace("annual_production", "state_annual"),
+                "state", value="missing_percentage", second="total"),
+    ],
+    {
+        "recent_total": RECENT_TOTALS,
+        "recent_annual": f"""
+            SELECT state, unique_id, siec, CAST(date_trunc('year', date) AS DATE) AS date,
+                   SUM(energy_prod) AS energy_prod, BOOL_OR(predicted) AS predicted
+            FROM flagged_production WHERE {RECENT} GROUP BY 1, 2, 3, 4""",
+        "state_annual": f"""
+            SELECT state, siec, CAST(date_trunc('year', date) AS DATE) AS date,
+                   CAST(trunc(SUM(CASE WHEN siec = 'TOTAL' THEN energy_prod
+                                  ELSE trunc(energy_prod) END)) AS BIGINT) AS energy_prod
+            FROM flagged_production WHERE {RECENT} AND state = '{AGG}' GROUP BY 1, 2, 3""",
+        "shown": f"""SELECT * FROM recent_total WHERE state IN (
+            SELECT state FROM ({top_states('recent_annual', 'energy_prod', 'siec', 'TOTAL')}))""",
+        "average": MEMBER_AVERAGE,
+    },
 )
 
-REPORT_CONSUMPTION = sql(
-    " UNION ALL ".join(
-        [
-            section("sectors", """SELECT DISTINCT label FROM consumption
-                                  JOIN segment_label ON nrg_bal = code""",
-                    item="label", value="1"),
-            section("years", YEARS.format("annual_consumption"), value="year"),
-            section("map", map_values("annual_consumption", "energy_cons", "t.nrg_bal = 'FC'"),
-                    "state", "id", value="energy_cons"),
-            section("per_capita", f"SELECT * FROM ({PER_CAPITA}) AS c WHERE date = DATE '{YEAR}'",
-                    "state", "label", "date", "energy_cons_per_capita"),
-            section("above_average", f"SELECT * FROM ({ABOVE}) AS c WHERE date = DATE '{YEAR}'",
-                    "state", "label", "date", "average"),
-            section("lines", SECTOR_LINES, "state", "nrg_bal", "date", "energy_cons"),
-            section("last_points", last_points("shown", "nrg_bal"),
-                    "state", "nrg_bal", "date", "energy_cons"),
-            section("band", f"SELECT * FROM ({SECTOR_LINES}) AS c WHERE predicted",
-                    "NULL", "nrg_bal", "date", "high"),
-            section("shares", f"""SELECT * FROM ({SECTOR_SHARE}) AS c
-                                  WHERE state = '{AGG}' AND date = DATE '{YEAR}'""",
-                    "state", "label", "date", "percentage"),
-        ]
-    ),
-    shown=SECTOR_LINES,
+CONSUMPTION_MAP = map_values("annual_consumption", "energy_cons", "t.nrg_bal = 'FC'")
+CONSUMPTION_PAGE = (
+    [
+        section("sectors", """SELECT DISTINCT label FROM consumption
+                              JOIN segment_label ON nrg_bal = code""",
+                item="label", value="1"),
+        section("years", YEARS.format("annual_consumption"), value="year"),
+        any_forecast("(SELECT * FROM annual_consumption WHERE nrg_bal = 'FC')"),
+        section("map", CONSUMPTION_MAP, "state", "id", value="energy_cons"),
+        domain("map_domain", CONSUMPTION_MAP, "energy_cons"),
+        section("per_capita", f"SELECT * FROM ({PER_CAPITA}) AS c WHERE date = DATE '{YEAR}'",
+                "state", "label", "date", "energy_cons_per_capita", "average"),
+        section("above_average", f"SELECT * FROM ({ABOVE}) AS c WHERE date = DATE '{YEAR}'",
+                "state", "label", "date", "average", "energy_cons_per_capita"),
+        section("lines", "SELECT * FROM shown", "state", "nrg_bal", "date", "energy_cons", "predicted"),
+        section("last_points", last_points("shown", "nrg_bal"),
+                "state", "nrg_bal", "date", "energy_cons", "predicted"),
+        section("band", "SELECT * FROM shown WHERE predicted",
+                "NULL", "nrg_bal", "date", "high", "low"),
+        section("shares", share("whole_consumption", "energy_cons", "nrg_bal", "segment_label",
+                                f"""t.nrg_bal <> 'FC' AND t.state = '{AGG}'
+                                    AND t.date = DATE '{YEAR}'""", 2),
+                "state", "label", "date", "percentage", "energy_cons"),
+    ],
+    {
+        "shown": SECTOR_LINES,
+        "whole_consumption": """
+            SELECT * REPLACE (CAST(trunc(energy_cons) AS BIGINT) AS energy_cons)
+            FROM annual_consumption""",
+    },
 )
 
+
+def page(parts: tuple) -> str:
+    body, tables = parts
+    return sql(" UNION ALL ".join(body), **tables)
+
+
+def prefixed(prefix: str, tables: dict[str, str]) -> dict[str, str]:
+    """The tables under other names, wherever they are named."""
+    names = re.compile(r"\b(" + "|".join(sorted(tables, key=len, reverse=True)) + r")\b")
+    return {
+        prefix + name: names.sub(lambda found: prefix + found[1], text)
+        for name, text in tables.items()
+    }
+
+
+def with_ahead(tidy: str, value: str, category: str, forecast: str) -> str:
+    """Actual and forecast rows, none of the latter below zero."""
+    clipped = [f"CASE WHEN {c} < 0 THEN 0 ELSE {c} END" for c in ("value", "low", "high")]
+    return f"""
+        SELECT {category}, state, date, {value}, unique_id, FALSE AS predicted,
+               CAST(NULL AS DOUBLE) AS low, CAST(NULL AS DOUBLE) AS high FROM {tidy}
+        UNION ALL
+        SELECT split_part(unique_id, ';', 2), split_part(unique_id, ';', 1), date, {clipped[0]},
+               unique_id, TRUE, {clipped[1]}, {clipped[2]} FROM {forecast}"""
+
+
+def forecast_page(parts: tuple) -> str:
+    """A page over tables with forecasts, of ``FORECAST_YEAR``."""
+    body, own = parts
+    tables = dict(CTES)
+    later = {name: tables.pop(name) for name in list(tables)[list(tables).index("flagged_production"):]}
+    points = {name: later.pop(name) for name in ("production_points", "consumption_points")}
+    later["flagged_production"] = with_ahead("production", "energy_prod", "siec", "p_forecast")
+    later["flagged_consumption"] = with_ahead("consumption", "energy_cons", "nrg_bal", "c_forecast")
+    later["annual_consumption"] = """
+        SELECT state, unique_id, nrg_bal, date, AVG(v) AS energy_cons,
+               BOOL_OR(predicted) AS predicted
+        FROM (SELECT state, unique_id, nrg_bal, predicted, AVG(energy_cons) AS v,
+                     CAST(date_trunc('year', date) AS DATE) AS date
+              FROM flagged_consumption GROUP BY ALL) AS t
+        GROUP BY state, unique_id, nrg_bal, date"""
+    tables |= points
+    tables |= prefixed("p_", seasonal("production_points", 1, 12, 48))
+    tables |= prefixed("c_", seasonal("consumption_points", 2, 6, 24))
+    tables |= later
+    tables |= own
+    listed = ",\n".join(f"{name} AS ({text})" for name, text in tables.items())
+    text = "WITH " + listed + "\n" + " UNION ALL ".join(body)
+    return text.replace(f"DATE '{YEAR}'", f"DATE '{FORECAST_YEAR}'")
+
+
+REPORT_BALANCE = page(BALANCE_PAGE)
+REPORT_PRODUCTION = page(PRODUCTION_PAGE)
+REPORT_CONSUMPTION = page(CONSUMPTION_PAGE)
+
 SHARE_WIDE = ", ".join(
     f"MAX(CASE WHEN state = '{state}' THEN {column} END) AS \"{column}_{state}\""
     for column in ("label", "percentage", "energy_cons")
@@ -867,5 +956,8 @@ ORACLES = {
     "report_balance": REPORT_BALANCE,
     "report_production": REPORT_PRODUCTION,
     "report_consumption": REPORT_CONSUMPTION,
+    "report_balance_forecast": forecast_page(BALANCE_PAGE),
+    "report_production_forecast": forecast_page(PRODUCTION_PAGE),
+    "report_consumption_forecast": forecast_page(CONSUMPTION_PAGE),
 }
 

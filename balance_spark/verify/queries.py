@@ -45,6 +45,8 @@ from balance_spark.specs import (
 YEAR = "2000-01-01"
 SINCE = "1997-01-01"
 FORECAST_MONTH = "2001-07-01"
+#: A year that no observation reaches.
+FORECAST_YEAR = "2003-01-01"
 DEFAULT_STATES = ("NATION 1", "NATION 7", "NATION 13", "NATION 20")
 #: Category, day of loading and factor of each revision of 1996; the last one is stale.
 REVISIONS = (("PROMO", "2024-03-01", 2), ("TOTAL", "2024-02-01", 3), ("SMALL", "2023-01-01", 9))
@@ -567,16 +569,21 @@ def _as_text(column: str | None):
 
 
 def sections(report: dict[str, DataFrame], layout: dict[str, tuple]) -> DataFrame:
-    """The sections of a report under one another: what, where, which, when, how much."""
+    """The sections of a report under one another: what, where, which, when, two values."""
+
+    def number(column):
+        return F.round((F.col(column) if column else F.lit(None)).cast("double"), 3)
+
     parts = []
-    for name, (state, item, date, value) in layout.items():
+    for name, (state, item, date, value, *second) in layout.items():
         parts.append(
             report[name].select(
                 F.lit(name).alias("section"),
                 _as_text(state).alias("state"),
                 _as_text(item).alias("item"),
                 _as_text(date).alias("date"),
-                F.round(F.col(value).cast("double"), 3).alias("value"),
+                number(value).alias("value"),
+                number(second[0] if second else None).alias("second"),
             )
         )
     return _stack(parts)
@@ -591,79 +598,121 @@ def _stack(parts):
 
 BALANCE_LAYOUT = {
     "years": (None, None, None, "year"),
+    "has_forecast": (None, None, None, "has_forecast"),
     "map": ("state", "id", None, "deficit"),
-    "map_domain": (None, None, None, "high"),
-    "lines": ("state", "def_id", "date", "deficit"),
-    "last_points": ("state", "def_id", "date", "deficit"),
+    "map_domain": (None, None, None, "high", "low"),
+    "lines": ("state", "def_id", "date", "deficit", "predicted"),
+    "last_points": ("state", "def_id", "date", "deficit", "predicted"),
+    "forecast_span": (None, "end", "start", None),
     "ranking": ("state", "deficit_status", None, "deficit"),
-    "top": ("state", None, "date", "rank"),
+    "top": ("state", None, "date", "rank", "deficit"),
 }
 PRODUCTION_LAYOUT = {
     "years": (None, None, None, "year"),
+    "has_forecast": (None, None, None, "has_forecast"),
     "map": ("state", "id", None, "energy_prod"),
-    "lines": ("state", "siec", "date", "energy_prod"),
-    "last_points": ("state", "siec", "date", "energy_prod"),
-    "average": ("state", "siec", "date", "y2"),
-    "average_domain": (None, None, None, "high"),
-    "stacked": ("state", "siec", "date", "stacked_to"),
-    "mix": ("state", "label", "date", "percentage"),
-    "missing": ("state", None, "date", "missing_percentage"),
-    "missing_all_years": ("state", None, None, "missing_percentage"),
+    "map_domain": (None, None, None, "high", "low"),
+    "lines": ("state", "siec", "date", "energy_prod", "predicted"),
+    "last_points": ("state", "siec", "date", "energy_prod", "predicted"),
+    "average": ("state", "siec", "date", "y2", "energy_prod"),
+    "average_domain": (None, None, None, "high", "low"),
+    "stacked": ("state", "siec", "date", "stacked_to", "energy_prod"),
+    "mix": ("state", "label", "date", "percentage", "energy_prod"),
+    "missing": ("state", None, "date", "missing_percentage", "total"),
+    "missing_all_years": ("state", None, None, "missing_percentage", "total"),
 }
 CONSUMPTION_LAYOUT = {
     "sectors": (None, "label", None, "has_rows"),
     "years": (None, None, None, "year"),
+    "has_forecast": (None, None, None, "has_forecast"),
     "map": ("state", "id", None, "energy_cons"),
-    "per_capita": ("state", "label", "date", "energy_cons_per_capita"),
-    "above_average": ("state", "label", "date", "average"),
-    "lines": ("state", "nrg_bal", "date", "energy_cons"),
-    "last_points": ("state", "nrg_bal", "date", "energy_cons"),
-    "band": (None, "nrg_bal", "date", "high"),
-    "shares": ("state", "label", "date", "percentage"),
+    "map_domain": (None, None, None, "high", "low"),
+    "per_capita": ("state", "label", "date", "energy_cons_per_capita", "average"),
+    "above_average": ("state", "label", "date", "average", "energy_cons_per_capita"),
+    "lines": ("state", "nrg_bal", "date", "energy_cons", "predicted"),
+    "last_points": ("state", "nrg_bal", "date", "energy_cons", "predicted"),
+    "band": (None, "nrg_bal", "date", "high", "low"),
+    "shares": ("state", "label", "date", "percentage", "energy_cons"),
 }
 
 
-def report_balance(spark, folder):
-    report = balance_report(
-        star.flagged_production(spark, folder),
-        star.flagged_consumption(spark, folder),
-        star.nations(spark, folder),
-        YEAR,
-    )
+def _balance_page(spark, folder, produced, consumed, date, **options):
+    report = balance_report(produced, consumed, star.nations(spark, folder), date, **options)
     return sections(report, BALANCE_LAYOUT)
 
 
-def report_production(spark, folder):
+def _production_page(spark, folder, produced, date, **options):
     report = production_report(
-        star.flagged_production(spark, folder),
+        produced,
         star.nations(spark, folder),
         labels(spark, star.TYPE_LABELS),
         category=PRODUCTION.total,
         state=AGGREGATE,
-        date=YEAR,
+        date=date,
         macro_parts=star.PRODUCT_TYPES,
         parts=star.PRODUCT_TYPES,
         since=SINCE,
+        **options,
     )
     return sections(report, PRODUCTION_LAYOUT)
 
 
-def report_consumption(spark, folder):
+def _consumption_page(spark, folder, consumed, date, **options):
     sector_names = labels(spark, star.SEGMENT_LABELS)
     report = consumption_report(
-        star.flagged_consumption(spark, folder),
+        consumed,
         _population(spark, folder),
         star.nations(spark, folder),
         sector_names,
         sector_names,
         category=CONSUMPTION.total,
         state=AGGREGATE,
-        date=YEAR,
+        date=date,
+        **options,
     )
     report["sectors"] = report["sectors"].withColumn("has_rows", F.lit(1))
     return sections(report, CONSUMPTION_LAYOUT)
 
 
+def report_balance(spark, folder):
+    produced, consumed = star.flagged_production(spark, folder), star.flagged_consumption(spark, folder)
+    return _balance_page(spark, folder, produced, consumed, YEAR)
+
+
+def report_production(spark, folder):
+    return _production_page(spark, folder, star.flagged_production(spark, folder), YEAR)
+
+
+def report_consumption(spark, folder):
+    return _consumption_page(spark, folder, star.flagged_consumption(spark, folder), YEAR)
+
+
+def _continued_production(spark, folder):
+    plan = replace(PRODUCTION_FORECAST, method="seasonal")
+    return written(with_forecast(star.production(spark, folder), PRODUCTION, plan), "production")
+
+
+def _continued_consumption(spark, folder):
+    plan = replace(CONSUMPTION_FORECAST, method="seasonal")
+    return written(with_forecast(star.consumption(spark, folder), CONSUMPTION, plan), "consumption")
+
+
+def report_balance_forecast(spark, folder):
+    """The page of a year that only the forecast reaches; so are the next two."""
+    produced, consumed = _continued_production(spark, folder), _continued_consumption(spark, folder)
+    return _balance_page(spark, folder, produced, consumed, FORECAST_YEAR, keep=written)
+
+
+def report_production_forecast(spark, folder):
+    produced = _continued_production(spark, folder)
+    return _production_page(spark, folder, produced, FORECAST_YEAR, keep=written)
+
+
+def report_consumption_forecast(spark, folder):
+    consumed = _continued_consumption(spark, folder)
+    return _consumption_page(spark, folder, consumed, FORECAST_YEAR, keep=written)
+
+
 QUERIES = {
     "tidy_population": tidy_population,
     "tidy_projection": tidy_projection,
@@ -739,4 +788,7 @@ QUERIES = {
     "report_balance": report_balance,
     "report_production": report_production,
     "report_consumption": report_consumption,
+    "report_balance_forecast": report_balance_forecast,
+    "report_production_forecast": report_production_forecast,
+    "report_consumption_forecast": report_consumption_forecast,
 }

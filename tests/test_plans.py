@@ -16,7 +16,10 @@ from balance_spark.verify.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 #: Queries that write files and read them again, which takes jobs of its own.
-WRITERS = {"tidy_text", "revised_table"}
+WRITERS = {
+    "tidy_text", "revised_table", "report_balance_forecast", "report_production_forecast",
+    "report_consumption_forecast",
+}
 
 
 @contextmanager
@@ -147,3 +150,16 @@ def test_no_job_runs_while_queries_are_built(spark):
             assert not spark.sparkContext.statusTracker().getJobIdsForGroup("building"), name
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.parametrize("page", ["balance", "production", "consumption"])
+def test_a_page_computes_its_forecast_and_its_years_once(spark, page, monkeypatch):
+    """Each is written once; the sections read what was written, no fact and no forecast."""
+    from balance_spark.verify import queries
+
+    made, kept = [], queries.written
+    monkeypatch.setattr(queries, "written", lambda *given: (made.append(1), kept(*given))[1])
+    plan = planned(QUERIES[f"report_{page}_forecast"](spark, FOLDER))
+    # Two forecasts and the yearly balance; a forecast and two yearly tables; one of each.
+    assert len(made) == {"balance": 3, "production": 3, "consumption": 2}[page]
+    assert "l_quantity" not in plan and "l_orderkey" not in plan and "add_months" not in plan
