@@ -324,7 +324,7 @@ WITH said AS (
 ), lines AS (
     SELECT said, list_distinct(any_value(found)) AS s,
            min({'d': doc_id, 'l': line_no}) AS place
-    FROM counted WHERE len(found) >= 3 GROUP BY said
+    FROM counted WHERE len(found) >= 1 GROUP BY said
 ), rare AS (
     SELECT w, count(*) AS f FROM (SELECT unnest(s) AS w FROM lines) GROUP BY w
 ), marks AS (

@@ -5,7 +5,7 @@ from balance_spark.llm.common import stored
 from balance_spark.llm.decontam import EditPlan, normalised
 from test_decontam import contained
 from test_linededup import brute_force
-from test_simhash import plain_components, plain_fingerprint
+from test_shingles import plain_kept
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -30,8 +30,7 @@ def test_stages(spark):
     assert {r["doc_id"]: r["text"] for r in lines} == want
     assert all(r["n_chars"] == len(r["text"]) for r in lines)
 
-    tied = plain_components({d: plain_fingerprint(t) for d, t in want.items()})
-    assert {r["doc_id"] for r in near} == set(tied.values())
+    assert {r["doc_id"] for r in near} == plain_kept(want.items())
 
     items = [normalised(r["text"]) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
     plan = EditPlan()
