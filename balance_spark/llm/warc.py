@@ -46,12 +46,33 @@ def decide(pages: DataFrame, min_bytes: int) -> DataFrame:
     )
 
 
+def _chunks(pages: DataFrame, size: int) -> DataFrame:
+    """``record, chunk, data``: the payloads in pieces of ``size`` bytes.
+
+    Bytes are cut by their place, not counted off from the start as characters are.  A row that
+    holds a payload is copied for each piece of it, so payloads are cut into pieces of 64 chunks
+    first, and these into chunks.
+    """
+
+    def cut(table, data, step, name):
+        last = F.ceil(F.octet_length(data) / F.lit(step)).cast("int") - 1
+        # No payload is empty; the plain form would first ask so.
+        dealt = table.select("*", F.posexplode_outer(F.sequence(F.lit(0), last)).alias(name, "at"))
+        return dealt.withColumn("data", F.expr(f"substring({data}, at * {step} + 1, {step})")).drop("at")
+
+    whole = pages.select("record", F.col("html").cast("binary").alias("whole"))
+    pieces = cut(whole, "whole", 64 * size, "piece").select("record", "piece", F.col("data").alias("part"))
+    return cut(pieces, "part", size, "within").select(
+        "record", (F.col("piece") * 64 + F.col("within")).alias("chunk"), "data"
+    )
+
+
 def write_archives(
     pages: DataFrame,
     folder: str,
     *,
     min_bytes: int = 1000,
-    chunk_chars: int = 1 << 18,
+    chunk_bytes: int = 1 << 18,
     file_bytes: int = 64 << 20,
     date: str = "2024-01-01T00:00:00Z",
 ) -> DataFrame:
@@ -79,21 +100,14 @@ def write_archives(
         .select(
             "record", F.lit(-1).alias("chunk"), "page_id", "url", "digest",
             F.col("bytes").cast("long").alias("bytes"), "refers_to",
-            F.lit(None).cast("string").alias("data"),
+            F.lit(None).cast("binary").alias("data"),
         )
     )
-    count = F.ceil(F.length("html") / F.lit(chunk_chars)).cast("int")
-    place = F.posexplode(F.sequence(F.lit(0), count - 1)).alias("chunk", "from")
-    body = (
-        pages.filter(F.col("html") != "")
-        .select("record", "html", place)
-        .select(
-            "record", "chunk",
-            F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("string").alias("url"),
-            F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("bytes"),
-            F.lit(None).cast("long").alias("refers_to"),
-            F.expr(f"substring(html, from * {chunk_chars} + 1, {chunk_chars})").alias("data"),
-        )
+    body = _chunks(pages.filter("bytes > 0"), chunk_bytes).select(
+        "record", "chunk",
+        F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("string").alias("url"),
+        F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("bytes"),
+        F.lit(None).cast("long").alias("refers_to"), "data",
     )
     files = max(1, -(-total // file_bytes), min(8, -(-total // (1 << 20))))
     rows = (
@@ -140,7 +154,7 @@ class _RecordWriter:
             self._finish()
             self._begin(row)
         elif self.head["refers_to"] is None:
-            data = row["data"].encode()
+            data = row["data"]
             self.digest.update(data)
             self._put(data)
 
