@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import sys
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +10,8 @@ from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from balance_spark.sources.tables import new_folder, shared_folder
+
 # Functions of this package travel to the executors with their tasks.
 cloudpickle.register_pickle_by_value(sys.modules["balance_spark.llm"])
 
@@ -44,15 +44,6 @@ def fresh(table: DataFrame, *names: str) -> list[str]:
     return made
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share; one is made only where the session names none."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="llm-checkpoint-"))
-    return context.getCheckpointDir()
-
-
 def durable(table: DataFrame) -> DataFrame:
     """Compute ``table`` once, into the shared folder, and go on from there.
 
@@ -63,11 +54,6 @@ def durable(table: DataFrame) -> DataFrame:
     return table.checkpoint(eager=True)
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing uses yet."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
