@@ -18,11 +18,13 @@ from balance_spark.llm.common import BLANKS, durable, fresh, partitions, words
 CLASS_BITS = 16
 #: Lines that are looked up again are told apart in this many classes of hashes.
 WANTED = 1 << 20
+#: Lines of more words than this have a wider bitmap.
+WIDE_WORDS = 100
 #: A rare word of more distinct lines than this is joined in two steps.
 HOT_LINES = 256
 LAST = (1 << 63) - 1
 _PLACE = ("doc", "row", "line")
-_LINE = ("doc", "row", "line", "hash")
+_WIDE = ("w0", "w1", "w2", "w3")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -42,59 +44,67 @@ def _lines(docs: DataFrame) -> DataFrame:
     ).filter(F.btrim("said", F.lit(BLANKS)) != "")
 
 
-def rarity_classes(docs: DataFrame) -> bytes:
-    """For every class of word hashes the logarithm of its number of words, as a byte.
+def _fixed_array(spark: SparkSession, counts: dict, size: int) -> Column:
+    """``size`` whole numbers as one constant, 0 where ``counts`` has none.
+
+    It is the answer of a subquery, so plans carry its name and not its numbers.
+    """
+    text = ",".join(str(counts.get(k, 0)) for k in range(size))
+    made = spark.createDataFrame([(text,)], "text string")
+    return made.select(F.split("text", ",").cast("array<int>")).scalar()
+
+
+def rarity_classes(docs: DataFrame) -> Column:
+    """For every class of word hashes four times the logarithm of its number of words.
 
     All words of all texts are counted; what comes to the driver has a fixed size.
     """
     found = docs.select(F.explode(words(F.col("text").cast("string"))).alias("word"))
     counts = (
         found.groupBy(F.shiftrightunsigned(F.xxhash64("word"), 64 - CLASS_BITS).alias("class"))
-        .agg(F.floor(F.log2(F.count("*"))).cast("int").alias("size"))
+        .agg(F.floor(4 * F.log2(F.count("*"))).cast("int").alias("size"))
         .collect()
     )
-    sizes = bytearray(1 << CLASS_BITS)
-    for row in counts:
-        sizes[row["class"]] = row["size"]
-    return bytes(sizes)
+    sizes = {r["class"]: r["size"] for r in counts}
+    # A constant, not a subquery: exchanges under it have to be equal to be used again.
+    text = ",".join(str(sizes.get(k, 0)) for k in range(1 << CLASS_BITS))
+    return F.split(F.lit(text), ",").cast("array<int>")
 
 
-def _word_set(said: Column, classes: bytes) -> Column:
+def _word_set(said: Column, sizes: Column) -> Column:
     """The words of a line as distinct numbers that sort by rarity.
 
-    First counts the class of a word's hash (frequent words come last), then its length
-    (of other words the longer ones are rarer), then the hash itself.
+    First counts the class of a word's hash (frequent words come last), then the hash itself.
     """
 
-    def hashed(word):
-        short = F.lit(63) - F.least(F.length(word), F.lit(63))
-        return F.xxhash64(word).bitwiseAND(F.lit(-64)).bitwiseOR(short.cast("long"))
-
     def number(word):
-        kind = F.shiftrightunsigned(word, 64 - CLASS_BITS).cast("int")
-        size = F.ascii(F.substr(F.lit(classes), kind + 1, F.lit(1)).cast("string")).cast("long")
-        rank = F.shiftleft(size * 64 + word.bitwiseAND(F.lit(63)), 50)
-        return rank.bitwiseOR(F.shiftrightunsigned(word, 14))
+        size = F.get(sizes, F.shiftrightunsigned(word, 64 - CLASS_BITS).cast("int"))
+        return F.shiftleft(size.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(word, 8))
 
     # Hashes are told apart first, so that each word is looked up once a line.
-    found = F.array_distinct(F.transform(words(said), hashed))
-    return F.sort_array(F.transform(found, lambda w: F.coalesce(number(w), F.lit(0).cast("long"))))
+    found = F.array_distinct(F.transform(words(said), lambda word: F.xxhash64(word)))
+    return F.sort_array(F.transform(found, number))
 
 
 def _passes(s: str, t: str) -> Column:
-    """Length, position and bitmap filters for Jaccard >= 0.8; ``t`` is the earlier line.
+    """Length, position and bitmap filters for Jaccard >= 0.8.
 
     Bits that differ are words that only one of the lines has, at least.
     """
     differ = f"{s}.n + {t}.n - 2 * CAST(ceil(4 * ({s}.n + {t}.n) / 9) AS int)"
-    wide = " + ".join(f"bit_count({s}.wide[{k}] ^ {t}.wide[{k}])" for k in range(4))
+    wide = " + ".join(f"bit_count({s}.{w} ^ {t}.{w})" for w in _WIDE)
     return F.expr(
-        f"({t}.doc < {s}.doc OR {t}.doc = {s}.doc "
-        f"AND ({t}.row < {s}.row OR {t}.row = {s}.row AND {t}.line < {s}.line)) "
-        f"AND 5 * least({s}.n, {t}.n) >= 4 * greatest({s}.n, {t}.n) "
+        f"5 * least({s}.n, {t}.n) >= 4 * greatest({s}.n, {t}.n) "
         f"AND 9 * (1 + least({s}.n - {s}.at, {t}.n - {t}.at)) >= 4 * ({s}.n + {t}.n) "
         f"AND bit_count({s}.bits ^ {t}.bits) <= {differ} "
-        f"AND ({s}.wide IS NULL OR {t}.wide IS NULL OR {wide} <= {differ})"
+        f"AND ({s}.w0 IS NULL OR {t}.w0 IS NULL OR {wide} <= {differ})"
+    )
+
+
+def _earlier(t: str, s: str) -> Column:
+    return F.expr(
+        f"{t}.doc < {s}.doc OR {t}.doc = {s}.doc "
+        f"AND ({t}.row < {s}.row OR {t}.row = {s}.row AND {t}.line < {s}.line)"
     )
 
 
@@ -104,23 +114,33 @@ def _pairs(joined: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def _wanted_bits(pairs: DataFrame) -> bytes:
-    """A bit for every class of the hashes in ``pairs``; its size is fixed."""
+def _in_order(pairs: DataFrame, first: DataFrame) -> DataFrame:
+    """The pairs with the line that stands later as ``hash``."""
+    place = F.struct(*_PLACE)
+    places = first.select("hash", place.alias("place"))
+    firsts = first.select(F.col("hash").alias("first_hash"), place.alias("first_place"))
+    later = F.col("place") > F.col("first_place")
+    return (
+        pairs.join(places, "hash")
+        .join(firsts, "first_hash")
+        .select(
+            F.when(later, F.col("hash")).otherwise(F.col("first_hash")).alias("hash"),
+            F.when(later, F.col("first_hash")).otherwise(F.col("hash")).alias("first_hash"),
+        )
+    )
+
+
+def _wanted_bits(pairs: DataFrame) -> Column:
+    """A bit for every class of the hashes in ``pairs``, 32 in a number; its size is fixed."""
     hashes = pairs.select("hash").unionByName(pairs.select(F.col("first_hash").alias("hash")))
     place = F.pmod("hash", F.lit(WANTED))
+    bit = F.call_function("shiftleft", F.lit(1), place.bitwiseAND(F.lit(31)).cast("int"))
     rows = (
-        hashes.groupBy(F.shiftright(place, 3).cast("int").alias("byte"))
-        .agg(
-            F.bit_or(
-                F.call_function("shiftleft", F.lit(1), place.bitwiseAND(F.lit(7)).cast("int"))
-            ).alias("bits")
-        )
+        hashes.groupBy(F.shiftright(place, 5).cast("int").alias("at"))
+        .agg(F.bit_or(bit).alias("bits"))
         .collect()
     )
-    bits = bytearray(WANTED // 8)
-    for row in rows:
-        bits[row["byte"]] = row["bits"]
-    return bits.hex().encode()
+    return _fixed_array(pairs.sparkSession, {r["at"]: r["bits"] for r in rows}, WANTED // 32)
 
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -128,13 +148,10 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
     Of the texts only lines whose hash may be in a pair are shuffled.
     """
-    bits = F.lit(_wanted_bits(pairs))
     place = F.pmod("hash", F.lit(WANTED)).cast("int")
-    # Two hexadecimal digits a byte, the higher one first.
-    swapped = place.bitwiseXOR(F.lit(4))
-    digit = F.conv(F.substr(bits, F.shiftright(swapped, 2) + 1, F.lit(1)).cast("string"), 16, 10)
+    bits = F.get(_wanted_bits(pairs), F.shiftright(place, 5))
     inside = F.call_function(
-        "shiftright", digit.cast("int"), place.bitwiseAND(F.lit(3))
+        "shiftright", bits, place.bitwiseAND(F.lit(31))
     ).bitwiseAND(F.lit(1))
     sets = (
         _lines(docs)
@@ -153,57 +170,43 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _marks(docs: DataFrame, first: DataFrame) -> DataFrame:
-    """``(mark, doc, row, line, hash, n, at, bits, wide)``: each line at each word of its prefix.
+    """``(mark, hash, n, at, bits, w0..w3)``: each line at each word of its prefix.
 
-    A very frequent line is dealt out from its first place only; copies of others meet at
-    their marks and are merged there.
+    A very frequent line is dealt out from its first place only; copies of others are equal
+    rows, merged where they meet.
     """
     total = first.agg(F.sum("copies")).first()[0] or 0
     often = first.filter(F.col("copies") > total / 10_000 + 100).select(
         "hash", F.col("row").alias("own_row"), F.col("line").alias("own_line")
     )  # fewer than 10,000 rows
     classes = rarity_classes(docs)
-    flip = F.call_function  # shiftleft() of the Python API takes no column
-    zero = F.lit(0).cast("long")
-
-    def bit(word):
-        return flip("shiftleft", F.lit(1).cast("long"), word.bitwiseAND(F.lit(63)).cast("int"))
-
-    parity = F.aggregate("set", zero, lambda bits, word: bits.bitwiseXOR(bit(word)))
+    parity = "aggregate(`set`, 0L, (bits, w) -> bits ^ shiftleft(1L, CAST(w & 63L AS INT)))"
     # Sixty-four bits tell long lines not apart; these have four times as many.
-    wide = F.when(
-        F.size("set") > 64,
-        F.transform(
-            F.sequence(F.lit(0), F.lit(3)),
-            lambda k: F.aggregate(
-                "set",
-                zero,
-                lambda bits, word: bits.bitwiseXOR(
-                    F.when(F.shiftright(word, 6).bitwiseAND(F.lit(3)) == k, bit(word)).otherwise(zero)
-                ),
-            ),
-        ),
-    )
+    wide = [
+        f"""CASE WHEN size(`set`) > {WIDE_WORDS} THEN aggregate(`set`, 0L, (bits, w) ->
+            IF((shiftright(w, 6) & 3L) = {k}, bits ^ shiftleft(1L, CAST(w & 63L AS INT)), bits))
+            END"""
+        for k in range(4)
+    ]
     rows = (
         _lines(docs)
         .withColumn("hash", F.xxhash64("said"))
         .join(F.broadcast(often), "hash", "left")
         .filter("own_row IS NULL OR own_row = row AND own_line = line")
-        .select(*_LINE, _word_set(F.col("said"), classes).alias("set"))
+        .withColumn("sizes", classes)
+        .select("hash", _word_set(F.col("said"), F.col("sizes")).alias("set"))
+        # Made before the marks are dealt out, so once a line.
         .select(
-            *_LINE, F.size("set").alias("n"), parity.alias("bits"), wide.alias("wide"),
-            F.posexplode(F.expr("slice(set, 1, CAST(size(set) div 5 AS int) + 1)")).alias(
-                "at", "mark"
-            ),
+            "hash", F.size("set").alias("n"), F.expr(parity).alias("bits"),
+            *[F.expr(part).alias(name) for name, part in zip(_WIDE, wide)],
+            F.expr("slice(`set`, 1, CAST(size(`set`) div 5 AS int) + 1)").alias("prefix"),
         )
+        # No prefix is empty; the plain form would first ask so, and make all sets again for it.
+        .select("hash", "n", "bits", *_WIDE, F.posexplode_outer("prefix").alias("at", "mark"))
         .withColumn("at", F.col("at") + 1)
     )
-    return (
-        rows.repartition(partitions(docs.sparkSession), "mark")
-        .groupBy("mark", "hash", "n", "at", "bits")
-        .agg(F.min(F.struct(*_PLACE)).alias("place"), F.first("wide").alias("wide"))
-        .select("mark", "hash", "place.*", "n", "at", "bits", "wide")
-    )
+    spread = rows.repartition(partitions(docs.sparkSession), "mark")
+    return spread.distinct().select("mark", "hash", "n", "at", "bits", *_WIDE)
 
 
 def similar_earlier(docs: DataFrame, first: DataFrame) -> DataFrame:
@@ -218,26 +221,28 @@ def similar_earlier(docs: DataFrame, first: DataFrame) -> DataFrame:
     )
     few = marks.filter(F.col("lines").between(2, HOT_LINES))
     many = marks.filter(F.col("lines") > HOT_LINES).drop("lines")
-    found = _pairs(few.alias("s").join(few.alias("t"), "mark").filter(_passes("s", "t")))
+    ties = few.alias("s").join(few.alias("t"), "mark")
+    found = _pairs(ties.filter((F.col("s.hash") < F.col("t.hash")) & _passes("s", "t")))
     # One job for both, so that the marks are made and shuffled once.
     both = durable(found.unionByName(many, allowMissingColumns=True))
-    found = both.filter("mark IS NULL").select(*found.columns)
-    many = both.filter("mark IS NOT NULL").select(*many.columns)
-    done = durable(_verified(docs, found).distinct())
+    found = _in_order(both.filter("mark IS NULL").select(*found.columns), first)
+    many = both.filter("mark IS NOT NULL").select(*many.columns).join(first.drop("copies"), "hash")
+    done = durable(_verified(docs, durable(found)).distinct())
     # Frequent words: lines that are done need no other, but others may be like them.
     left = many.join(done, "hash", "left_anti")
+    passes = _earlier("t", "s") & _passes("s", "t")
     kind = {"size": F.expr("n div 8"), "part": F.expr("bits & 255")}
     hubs = (
         many.withColumns(kind)
         .groupBy("mark", "size", "part")
-        .agg(F.min(F.struct(*_LINE, "n", "at", "bits", "wide")).alias("hub"))
+        .agg(F.min(F.struct(*_PLACE, "hash", "n", "at", "bits", *_WIDE)).alias("hub"))
         .select("mark", "size", "part", "hub.*")
     )
     tied = left.withColumns(kind).alias("s").join(hubs.alias("t"), ["mark", "size", "part"])
-    tied = durable(_pairs(tied.filter(_passes("s", "t"))))
+    tied = durable(_pairs(tied.filter(passes)))
     more = durable(_verified(docs, tied).distinct())
     rest = left.join(more, "hash", "left_anti")
-    last = durable(_pairs(rest.alias("s").join(many.alias("t"), "mark").filter(_passes("s", "t"))))
+    last = durable(_pairs(rest.alias("s").join(many.alias("t"), "mark").filter(passes)))
     return done.unionByName(more).unionByName(_verified(docs, last)).distinct()
 
 
