@@ -48,7 +48,8 @@ def format_turns(conversations: DataFrame) -> DataFrame:
 
     NULL roles and texts are empty.  Rows of one conversation with equal turn numbers are
     ordered by role and text; repeated rows are turns of their own; rows without a
-    ``conv_id`` make up one conversation.  Other columns are not read.
+    ``conv_id`` make up one conversation.  Other columns are not read.  Texts of any length are
+    formatted whole; the turns of one conversation are one row.
     """
     rows = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"),

@@ -291,6 +291,7 @@ def contaminations(
     item are allowed.  Texts and items that are NULL or have no word match nothing; items
     with equal words are each reported; repeated rows are reported each; rows without
     ``doc_id`` are reported with NULL; empty tables give no row.  Other columns are not read.
+    Texts of any length are searched whole, a few MB of texts, or one longer text, at a time.
     Windows with more edits than none are found with a chance that ``rounds`` raises (an
     unchanged passage always is).
     """

@@ -254,7 +254,8 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     a smaller ``doc_id``, in rows of one ``doc_id`` a smaller row, in one row a smaller number,
     whether they go themselves or not.  Rows without ``doc_id`` come last; each is a document
     of its own, and ``doc`` is NULL.  Blank lines never go; NULL and empty texts have no other.
-    An empty table gives an empty result.  Other columns are not read.
+    An empty table gives an empty result.  Other columns are not read.  Lines of any length are
+    compared by all their words; longer ones just have more marks.
     """
     said = _lines(docs).select(
         *_PLACE, "unnamed", F.xxhash64("said").alias("hash")

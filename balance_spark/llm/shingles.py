@@ -174,7 +174,7 @@ def keep_distinct(docs: DataFrame) -> DataFrame:
     Texts with a Jaccard similarity of 0.8 or more are linked.  The row with the smallest
     ``doc_id`` stays, the first in the table among equals; rows without ``doc_id`` come last.
     NULL, empty and blank texts are equal; an empty table gives an empty result.  All columns
-    stay as they are.
+    stay as they are.  Texts of any length are compared by all their shingles.
     """
     sketches = durable(_sketches(docs))
     nodes = durable(

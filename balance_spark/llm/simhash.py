@@ -184,7 +184,8 @@ def near_duplicates(docs: DataFrame, *, bits: int = 3) -> DataFrame:
     ``bits`` differing bits.  NULL, empty and blank texts have fingerprint zero and are
     linked like any other; rows without ``doc_id`` belong to a component but never name it
     (NULL if none there has one); repeated rows stay, each with its row; an empty table gives
-    an empty result.  Other columns are not read.
+    an empty result.  Other columns are not read.  Texts of any length count whole: bits are
+    counted over all their shingles.
     """
     prints = durable(fingerprints(docs))
     distinct = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))

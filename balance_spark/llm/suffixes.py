@@ -286,8 +286,11 @@ def repeated_spans(docs: DataFrame, *, min_words: int = 50) -> DataFrame:
     stands between white space, compared as they are (by 64-bit hashes of the chosen run and
     32-bit hashes of each word around it).  NULL, empty and short texts have no span; rows
     without ``doc_id`` and repeated rows are rows like others; an empty table gives an empty
-    result.  Other columns are not read.  ``min_words`` is between 11 and 73.
+    result.  Other columns are not read.  A text of any length is read whole, by the task that
+    holds it.  ``min_words`` is between 11 and 73, as that many words are compared at once.
     """
+    if not 11 <= min_words <= 73:
+        raise ValueError(f"min_words must be between 11 and 73, not {min_words}")
     reach = min_words - GRAM
     suffixes = stored(sampled_suffixes(docs, min_words), "suffixes")
     shared = suffixes.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1")
