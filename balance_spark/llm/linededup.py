@@ -203,7 +203,14 @@ def _marks(docs: DataFrame, first: DataFrame) -> DataFrame:
         )
         # No prefix is empty; the plain form would first ask so, and make all sets again for it.
         .select("hash", "n", "bits", *_WIDE, F.posexplode_outer("prefix").alias("at", "mark"))
-        .withColumn("at", F.col("at") + 1)
+        .withColumns(
+            {
+                "at": F.col("at") + 1,
+                # Never NULL, and known to be: else joins alone would filter it, below an
+                # exchange that the other users of the marks could not share then.
+                "mark": F.coalesce("mark", F.lit(0).cast("long")),
+            }
+        )
     )
     spread = rows.repartition(partitions(docs.sparkSession), "mark")
     return spread.distinct().select("mark", "hash", "n", "at", "bits", *_WIDE)
