@@ -14,7 +14,7 @@ from balance_spark.llm.decontam import without_contaminated
 from balance_spark.llm.linededup import without_repeated_lines
 from balance_spark.llm.packing import pack
 from balance_spark.llm.quality import keep_good
-from balance_spark.llm.shingles import keep_distinct
+from balance_spark.llm.simhash import keep_one
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +28,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group that shares 0.8 or more of its five-word shingles."""
-    return keep_distinct(docs)
+    """One document of every group whose fingerprints of three-word shingles link at three bits."""
+    return keep_one(docs, bits=3)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
