@@ -5,7 +5,7 @@ import random
 import corpus_pipeline
 import pytest
 
-from balance_spark.llm import chat, decontam, linededup, shingles, simhash, suffixes
+from balance_spark.llm import chat, decontam, linededup, simhash, suffixes
 
 FOLDER = "/root/testdata/sf0.001"
 #: About 1.5 MB of words on one line.
@@ -22,7 +22,7 @@ def long_docs(documents):
 def test_long_texts_are_near_copies(long_docs):
     parts = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(long_docs).collect()}
     assert parts[1] == parts[2] == parts[5] == 1 and parts[4] == 4
-    assert {r["doc_id"] for r in shingles.keep_distinct(long_docs).collect()} == {1, 3, 4}
+    assert {r["doc_id"] for r in simhash.keep_one(long_docs).collect()} == {1, 3, 4}
 
 
 def test_long_lines_go(long_docs):

@@ -5,7 +5,7 @@ from balance_spark.llm.common import stored
 from balance_spark.llm.decontam import EditPlan, normalised
 from test_decontam import contained
 from test_linededup import brute_force
-from test_shingles import plain_kept
+from test_simhash import plain_components, plain_fingerprint
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -30,7 +30,8 @@ def test_stages(spark):
     assert {r["doc_id"]: r["text"] for r in lines} == want
     assert all(r["n_chars"] == len(r["text"]) for r in lines)
 
-    assert {r["doc_id"] for r in near} == plain_kept(want.items())
+    named = plain_components({k: plain_fingerprint(t) for k, t in want.items()})
+    assert {r["doc_id"] for r in near} == set(named.values())
 
     items = [normalised(r["text"]) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
     plan = EditPlan()
