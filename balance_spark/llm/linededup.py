@@ -1,9 +1,9 @@
 """Line deduplication by an exact set-similarity join.
 
 A line is the set of its words.  Words are ordered by rarity, so that two lines with a
-Jaccard similarity of at least 0.8 share one of the few rarest words of both (the prefix).
-Lines that meet at such a word are compared by length, by the words that can still follow at
-their positions, and by a bitmap of parities; what passes is verified word by word.  A line
+Jaccard similarity of at least 0.8 share one of the first few pairs of neighbours in that order
+(the prefix).  Lines that meet at such a pair are compared by length and by a bitmap of
+parities; what passes is verified word by word, for each line the most alike first.  A line
 goes if an earlier one is that similar.  Everything here is DataFrame functions.
 """
 
@@ -18,13 +18,12 @@ from balance_spark.llm.common import BLANKS, durable, fresh, partitions, words
 CLASS_BITS = 16
 #: Lines that are looked up again are told apart in this many classes of hashes.
 WANTED = 1 << 20
-#: Lines of more words than this have a wider bitmap.
-WIDE_WORDS = 100
-#: A rare word of more distinct lines than this is joined in two steps.
+#: A mark of more distinct lines than this is joined in two steps.
 HOT_LINES = 256
+#: The number of words of a line is dealt out in sixteen bits, parities in the other 48.
+MOST_WORDS = (1 << 16) - 1
 LAST = (1 << 63) - 1
 _PLACE = ("doc", "row", "line")
-_WIDE = ("w0", "w1", "w2", "w3")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -95,17 +94,15 @@ def _word_set(said: Column, sizes: Column) -> Column:
 
 
 def _passes(s: str, t: str) -> Column:
-    """Length, position and bitmap filters for Jaccard >= 0.8.
+    """Length and bitmap filters for Jaccard >= 0.8; ``MOST_WORDS`` words may be more.
 
     Bits that differ are words that only one of the lines has, at least.
     """
-    differ = f"{s}.n + {t}.n - 2 * CAST(ceil(4 * ({s}.n + {t}.n) / 9) AS int)"
-    wide = " + ".join(f"bit_count({s}.{w} ^ {t}.{w})" for w in _WIDE)
+    least = f"CAST(ceil(4 * ({s}.n + {t}.n) / 9) AS int)"  # words that both must have
     return F.expr(
-        f"5 * least({s}.n, {t}.n) >= 4 * greatest({s}.n, {t}.n) "
-        f"AND 9 * (1 + least({s}.n - {s}.at, {t}.n - {t}.at)) >= 4 * ({s}.n + {t}.n) "
-        f"AND bit_count({s}.bits ^ {t}.bits) <= {differ} "
-        f"AND ({s}.w0 IS NULL OR {t}.w0 IS NULL OR {wide} <= {differ})"
+        f"greatest({s}.n, {t}.n) >= {MOST_WORDS} "
+        f"OR 5 * least({s}.n, {t}.n) >= 4 * greatest({s}.n, {t}.n) "
+        f"AND bit_count({s}.bits ^ {t}.bits) <= {s}.n + {t}.n - 2 * {least}"
     )
 
 
@@ -116,24 +113,30 @@ def _earlier(t: str, s: str) -> Column:
     )
 
 
+def _apart(s: str, t: str) -> Column:
+    return F.expr(f"bit_count({s}.bits ^ {t}.bits)")
+
+
 def _pairs(joined: DataFrame) -> DataFrame:
     return joined.select(
-        F.col("s.hash").alias("hash"), F.col("t.hash").alias("first_hash")
+        F.col("s.hash").alias("hash"), F.col("t.hash").alias("first_hash"),
+        _apart("s", "t").alias("apart"),
     ).distinct()
 
 
 def _in_order(pairs: DataFrame, first: DataFrame) -> DataFrame:
     """The pairs with the line that stands later as ``hash``."""
-    place = F.struct(*_PLACE)
-    places = first.select("hash", place.alias("place"))
-    firsts = first.select(F.col("hash").alias("first_hash"), place.alias("first_place"))
-    later = F.col("place") > F.col("first_place")
+    places = first.drop("copies")  # the same columns wherever they are shuffled, so only once
+    place, first_place = (F.struct(*[f"{x}.{c}" for c in _PLACE]) for x in "st")
+    later = place > first_place
     return (
-        pairs.join(places, "hash")
-        .join(firsts, "first_hash")
+        pairs.join(places.alias("s"), "hash")
+        .join(places.alias("t"), F.col("first_hash") == F.col("t.hash"))
+        .select(F.col("s.hash").alias("hash"), "first_hash", "apart", later.alias("later"))
         .select(
-            F.when(later, F.col("hash")).otherwise(F.col("first_hash")).alias("hash"),
-            F.when(later, F.col("first_hash")).otherwise(F.col("hash")).alias("first_hash"),
+            F.when(F.col("later"), F.col("hash")).otherwise(F.col("first_hash")).alias("hash"),
+            F.when(F.col("later"), F.col("first_hash")).otherwise(F.col("hash")).alias("first_hash"),
+            "apart",
         )
     )
 
@@ -180,7 +183,16 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _marks(docs: DataFrame, first: DataFrame) -> DataFrame:
-    """``(mark, hash, n, at, bits, w0..w3)``: each line at each word of its prefix.
+    """``(mark, hash, bits, n)``: each line at each mark of its prefix, dealt out by mark.
+
+    A mark is a word with the next one of the line in the order of rarity; the last word has
+    the end for its next.  Of two lines with ``n`` and ``m`` words, ``o`` of them in both, each
+    of the other ``n + m - 2 * o`` words comes between at most two neighbours in both lines, so
+    at least ``o - (n + m - 2 * o)`` marks are in both.  From ``9 * o >= 4 * (n + m)`` and
+    ``5 * m >= 4 * n`` these are three fifths of ``n``: one is among the first two fifths and
+    one more of either line.  (``least`` has it in whole words: of ``3 * o - c``, where ``o`` is
+    ``4 * c / 9`` rounded up, the smallest for any ``c = n + m`` there can be.)  Two words
+    together stand in few lines, however many have each.
 
     A very frequent line is dealt out from its first place only; copies of others are equal
     rows, merged where they meet.
@@ -190,14 +202,9 @@ def _marks(docs: DataFrame, first: DataFrame) -> DataFrame:
         "hash", F.col("row").alias("own_row"), F.col("line").alias("own_line")
     )  # fewer than 10,000 rows
     classes = rarity_classes(docs)
-    parity = "aggregate(`set`, 0L, (bits, w) -> bits ^ shiftleft(1L, CAST(w & 63L AS INT)))"
-    # Sixty-four bits tell long lines not apart; these have four times as many.
-    wide = [
-        f"""CASE WHEN size(`set`) > {WIDE_WORDS} THEN aggregate(`set`, 0L, (bits, w) ->
-            IF((shiftright(w, 6) & 3L) = {k}, bits ^ shiftleft(1L, CAST(w & 63L AS INT)), bits))
-            END"""
-        for k in range(4)
-    ]
+    parity = "aggregate(`set`, 0L, (bits, w) -> bits ^ shiftleft(1L, CAST(w % 48L AS INT)))"
+    both = "(n + (4 * n + 4) div 5)"
+    least = f"3 * ({both} div 9) + least(3, ({both} % 9 + 1) div 2)"
     rows = (
         _lines(docs)
         .withColumn("hash", F.xxhash64("said"))
@@ -206,61 +213,93 @@ def _marks(docs: DataFrame, first: DataFrame) -> DataFrame:
         .withColumn("sizes", classes)
         .select("hash", _word_set(F.col("said"), F.col("sizes")).alias("set"))
         # Made before the marks are dealt out, so once a line.
+        .select("hash", "set", F.size("set").alias("n"), F.expr(parity).alias("bits"))
         .select(
-            "hash", F.size("set").alias("n"), F.expr(parity).alias("bits"),
-            *[F.expr(part).alias(name) for name, part in zip(_WIDE, wide)],
-            F.expr("slice(`set`, 1, CAST(size(`set`) div 5 AS int) + 1)").alias("prefix"),
+            "hash", "set",
+            F.expr(f"shiftleft(CAST(least(n, {MOST_WORDS}) AS long), 48) | bits").alias("about"),
+            F.expr(f"slice(`set`, 1, CAST(n + 1 - ({least}) AS int))").alias("prefix"),
         )
         # No prefix is empty; the plain form would first ask so, and make all sets again for it.
-        .select("hash", "n", "bits", *_WIDE, F.posexplode_outer("prefix").alias("at", "mark"))
-        .withColumns(
-            {
-                "at": F.col("at") + 1,
-                # Never NULL, and known to be: else joins alone would filter it, below an
-                # exchange that the other users of the marks could not share then.
-                "mark": F.coalesce("mark", F.lit(0).cast("long")),
-            }
+        .select("hash", "set", "about", F.posexplode_outer("prefix").alias("at", "word"))
+        .select(
+            # Behind the last word there is NULL, which a hash leaves out.
+            F.xxhash64("word", F.get("set", F.col("at") + 1)).alias("mark"),
+            "hash", "about",
         )
     )
-    spread = rows.repartition(partitions(docs.sparkSession), "mark")
-    return spread.distinct().select("mark", "hash", "n", "at", "bits", *_WIDE)
+    return rows.repartition(partitions(docs.sparkSession), "mark").select(
+        "mark", "hash",
+        F.expr(f"about & {(1 << 48) - 1}L").alias("bits"),
+        F.expr("CAST(shiftrightunsigned(about, 48) AS int)").alias("n"),
+    )
+
+
+def _meetings(marks: DataFrame) -> DataFrame:
+    """``(hash, first_hash, apart)`` of lines that meet at marks of few lines, filtered.
+
+    Lines at a mark of many come with ``mark``, ``bits`` and ``n`` in place of these.  Every step
+    goes on with the rows as they were dealt out by mark, in one job.
+    """
+    at_mark = Window.partitionBy("mark")
+    # Most marks are one line's alone.
+    shared = (
+        marks.withColumns(
+            {"low": F.min("hash").over(at_mark), "high": F.max("hash").over(at_mark)}
+        )
+        .filter("low <> high")
+        .drop("low", "high")
+        .distinct()
+        .withColumn("lines", F.count("*").over(at_mark))
+    )
+    line = F.struct("hash", "bits", "n")
+    many = F.when(F.col("lines") > HOT_LINES, F.col("hash"))  # each a group of its own
+    groups = shared.groupBy("mark", many.alias("own")).agg(F.collect_list(line).alias("lines"))
+    met = groups.select("mark", "own", "lines", F.explode("lines").alias("s")).select(
+        "mark", "own", "s", F.explode("lines").alias("t")
+    )
+    meet = F.col("own").isNull() & (F.col("s.hash") < F.col("t.hash")) & _passes("s", "t")
+    alone = F.col("own").isNotNull()
+    return (
+        met.filter(meet | alone)
+        .select(
+            "s.hash", F.when(~alone, F.col("t.hash")).alias("first_hash"),
+            F.when(~alone, _apart("s", "t")).alias("apart"),
+            *[F.when(alone, F.col(c)).alias(c.split(".")[-1]) for c in ("mark", "s.bits", "s.n")],
+        )
+        .distinct()
+    )
 
 
 def similar_earlier(docs: DataFrame, first: DataFrame) -> DataFrame:
     """``(hash)`` of every distinct line that has an earlier similar one.
 
-    Words of few lines are joined with themselves.  At words of many lines each line is first
-    compared with the earliest of about its length and bitmap; only lines for which that
-    fails meet all others there, so that many variants of one line do not meet pairwise.
+    Lines at marks of few lines are compared with each other.  At marks of many lines each line
+    is first compared with the earliest of about its length and bitmap; only lines for which all
+    that fails meet all others there, so that many variants of one line do not meet pairwise.
     """
-    marks = _marks(docs, first).withColumn(
-        "lines", F.count("*").over(Window.partitionBy("mark"))
-    )
-    few = marks.filter(F.col("lines").between(2, HOT_LINES))
-    many = marks.filter(F.col("lines") > HOT_LINES).drop("lines")
-    ties = few.alias("s").join(few.alias("t"), "mark")
-    found = _pairs(ties.filter((F.col("s.hash") < F.col("t.hash")) & _passes("s", "t")))
-    # One job for both, so that the marks are made and shuffled once.
-    both = durable(found.unionByName(many, allowMissingColumns=True))
-    found = _in_order(both.filter("mark IS NULL").select(*found.columns), first)
-    many = both.filter("mark IS NOT NULL").select(*many.columns).join(first.drop("copies"), "hash")
-    done = durable(_verified(docs, durable(found)).distinct())
-    # Frequent words: lines that are done need no other, but others may be like them.
-    left = many.join(done, "hash", "left_anti")
+    both = durable(_meetings(_marks(docs, first)))
+    found = _in_order(both.filter("mark IS NULL").select("hash", "first_hash", "apart"), first)
+    many = both.filter("mark IS NOT NULL").select("mark", "hash", "bits", "n")
+    many = many.join(first.drop("copies"), "hash")
     passes = _earlier("t", "s") & _passes("s", "t")
     kind = {"size": F.expr("n div 8"), "part": F.expr("bits & 255")}
     hubs = (
         many.withColumns(kind)
         .groupBy("mark", "size", "part")
-        .agg(F.min(F.struct(*_PLACE, "hash", "n", "at", "bits", *_WIDE)).alias("hub"))
+        .agg(F.min(F.struct(*_PLACE, "hash", "bits", "n")).alias("hub"))
         .select("mark", "size", "part", "hub.*")
     )
-    tied = left.withColumns(kind).alias("s").join(hubs.alias("t"), ["mark", "size", "part"])
-    tied = durable(_pairs(tied.filter(passes)))
-    more = durable(_verified(docs, tied).distinct())
-    rest = left.join(more, "hash", "left_anti")
-    last = durable(_pairs(rest.alias("s").join(many.alias("t"), "mark").filter(passes)))
-    return done.unionByName(more).unionByName(_verified(docs, last)).distinct()
+    tied = many.withColumns(kind).alias("s").join(hubs.alias("t"), ["mark", "size", "part"])
+    known = durable(found.unionByName(_pairs(tied.filter(passes))).distinct())
+    # One pair shows that a line goes; the most alike is the one to ask first.
+    closest = known.groupBy("hash").agg(F.min_by("first_hash", F.struct("apart", "first_hash")))
+    done = durable(_verified(docs, durable(closest.toDF("hash", "first_hash"))).distinct())
+    # Lines that are done need no other, but others may be like them.
+    rest = many.join(done, "hash", "left_anti")
+    met = _pairs(rest.alias("s").join(many.alias("t"), "mark").filter(passes))
+    left = known.join(done, "hash", "left_anti").unionByName(met)
+    left = durable(left.select("hash", "first_hash").distinct())
+    return done.unionByName(_verified(docs, left)).distinct()
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:

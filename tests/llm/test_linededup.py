@@ -52,3 +52,32 @@ def test_edges(documents, clashing, rows):
     assert (3, None, 0) in got and (4, "", 0) in got
     assert not [r for r in got if r[0] is None]
     assert linededup.removed_lines(docs.filter("false")).count() == 0
+
+
+def test_words_of_many_lines_do_not_multiply_rows(documents, monkeypatch):
+    monkeypatch.setattr(linededup, "HOT_LINES", 8)
+    made, keep = [], linededup.durable
+
+    def counted(table):
+        made.append(keep(table))
+        return made[-1]
+
+    monkeypatch.setattr(linededup, "durable", counted)
+    rng = random.Random(9)
+    # Each word stands in some 24 lines, two of them together in hardly any.
+    lines = [[f"w{k}" for k in rng.sample(range(300), 12)] for _ in range(600)]
+    lines += [line[:11] + ["other"] for line in lines[:20]]
+    rows = [(d, " ".join(line)) for d, line in enumerate(lines)]
+    got = linededup.removed_lines(documents(*rows)).collect()
+    assert {(r["doc"], r["line"]) for r in got} == brute_force(rows) != set()
+    assert max(table.count() for table in made) <= len(lines)
+
+
+def test_all_candidates_of_a_line_are_asked(documents):
+    """The line most alike is not always similar: all candidates of a line are asked."""
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(40)]
+    pool = [" ".join(line) for n in (2, 3, 4, 5, 6) for line in variants(rng, base[: 8 * n], 12)]
+    rows = list(enumerate(pool))
+    got = linededup.removed_lines(documents(*rows)).collect()
+    assert {(r["doc"], r["line"]) for r in got} == brute_force(rows)
