@@ -2,7 +2,7 @@
 
 A line is the set of its words.  Words are ordered by rarity, so that two lines with a
 Jaccard similarity of at least 0.8 share one of the first few pairs of neighbours in that order
-(the prefix).  Lines that meet at such a pair are compared by length and by a bitmap of
+(the prefix).  Lines that meet at such a pair are compared by length, position and a bitmap of
 parities; what passes is verified word by word, for each line the most alike first.  A line
 goes if an earlier one is that similar.  Everything here is DataFrame functions.
 """
@@ -20,8 +20,6 @@ CLASS_BITS = 16
 WANTED = 1 << 20
 #: A mark of more distinct lines than this is joined in two steps.
 HOT_LINES = 256
-#: The number of words of a line is dealt out in sixteen bits, parities in the other 48.
-MOST_WORDS = (1 << 16) - 1
 LAST = (1 << 63) - 1
 _PLACE = ("doc", "row", "line")
 
@@ -94,14 +92,14 @@ def _word_set(said: Column, sizes: Column) -> Column:
 
 
 def _passes(s: str, t: str) -> Column:
-    """Length and bitmap filters for Jaccard >= 0.8; ``MOST_WORDS`` words may be more.
+    """Length, position and bitmap filters for Jaccard >= 0.8, at the first mark both have.
 
     Bits that differ are words that only one of the lines has, at least.
     """
     least = f"CAST(ceil(4 * ({s}.n + {t}.n) / 9) AS int)"  # words that both must have
     return F.expr(
-        f"greatest({s}.n, {t}.n) >= {MOST_WORDS} "
-        f"OR 5 * least({s}.n, {t}.n) >= 4 * greatest({s}.n, {t}.n) "
+        f"5 * least({s}.n, {t}.n) >= 4 * greatest({s}.n, {t}.n) "
+        f"AND 1 + least({s}.n - {s}.at, {t}.n - {t}.at) >= 3 * {least} - {s}.n - {t}.n "
         f"AND bit_count({s}.bits ^ {t}.bits) <= {s}.n + {t}.n - 2 * {least}"
     )
 
@@ -183,7 +181,7 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _marks(docs: DataFrame, first: DataFrame) -> DataFrame:
-    """``(mark, hash, bits, n)``: each line at each mark of its prefix, dealt out by mark.
+    """``(mark, hash, bits, n, at)``: each line at each mark of its prefix, dealt out by mark.
 
     A mark is a word with the next one of the line in the order of rarity; the last word has
     the end for its next.  Of two lines with ``n`` and ``m`` words, ``o`` of them in both, each
@@ -202,7 +200,7 @@ def _marks(docs: DataFrame, first: DataFrame) -> DataFrame:
         "hash", F.col("row").alias("own_row"), F.col("line").alias("own_line")
     )  # fewer than 10,000 rows
     classes = rarity_classes(docs)
-    parity = "aggregate(`set`, 0L, (bits, w) -> bits ^ shiftleft(1L, CAST(w % 48L AS INT)))"
+    parity = "aggregate(`set`, 0L, (bits, w) -> bits ^ shiftleft(1L, CAST(w & 63L AS INT)))"
     both = "(n + (4 * n + 4) div 5)"
     least = f"3 * ({both} div 9) + least(3, ({both} % 9 + 1) div 2)"
     rows = (
@@ -215,29 +213,24 @@ def _marks(docs: DataFrame, first: DataFrame) -> DataFrame:
         # Made before the marks are dealt out, so once a line.
         .select("hash", "set", F.size("set").alias("n"), F.expr(parity).alias("bits"))
         .select(
-            "hash", "set",
-            F.expr(f"shiftleft(CAST(least(n, {MOST_WORDS}) AS long), 48) | bits").alias("about"),
+            "hash", "set", "bits", "n",
             F.expr(f"slice(`set`, 1, CAST(n + 1 - ({least}) AS int))").alias("prefix"),
         )
         # No prefix is empty; the plain form would first ask so, and make all sets again for it.
-        .select("hash", "set", "about", F.posexplode_outer("prefix").alias("at", "word"))
+        .select("hash", "set", "bits", "n", F.posexplode_outer("prefix").alias("at", "word"))
         .select(
             # Behind the last word there is NULL, which a hash leaves out.
             F.xxhash64("word", F.get("set", F.col("at") + 1)).alias("mark"),
-            "hash", "about",
+            "hash", "bits", "n", (F.col("at") + 1).alias("at"),
         )
     )
-    return rows.repartition(partitions(docs.sparkSession), "mark").select(
-        "mark", "hash",
-        F.expr(f"about & {(1 << 48) - 1}L").alias("bits"),
-        F.expr("CAST(shiftrightunsigned(about, 48) AS int)").alias("n"),
-    )
+    return rows.repartition(partitions(docs.sparkSession), "mark")
 
 
 def _meetings(marks: DataFrame) -> DataFrame:
     """``(hash, first_hash, apart)`` of lines that meet at marks of few lines, filtered.
 
-    Lines at a mark of many come with ``mark``, ``bits`` and ``n`` in place of these.  Every step
+    Lines at a mark of many come with ``mark``, ``bits``, ``n`` and ``at`` instead.  Every step
     goes on with the rows as they were dealt out by mark, in one job.
     """
     at_mark = Window.partitionBy("mark")
@@ -251,7 +244,7 @@ def _meetings(marks: DataFrame) -> DataFrame:
         .distinct()
         .withColumn("lines", F.count("*").over(at_mark))
     )
-    line = F.struct("hash", "bits", "n")
+    line = F.struct("hash", "bits", "n", "at")
     many = F.when(F.col("lines") > HOT_LINES, F.col("hash"))  # each a group of its own
     groups = shared.groupBy("mark", many.alias("own")).agg(F.collect_list(line).alias("lines"))
     met = groups.select("mark", "own", "lines", F.explode("lines").alias("s")).select(
@@ -264,7 +257,7 @@ def _meetings(marks: DataFrame) -> DataFrame:
         .select(
             "s.hash", F.when(~alone, F.col("t.hash")).alias("first_hash"),
             F.when(~alone, _apart("s", "t")).alias("apart"),
-            *[F.when(alone, F.col(c)).alias(c.split(".")[-1]) for c in ("mark", "s.bits", "s.n")],
+            *[F.when(alone, F.col(c)).alias(c.split(".")[-1]) for c in ("mark", "s.bits", "s.n", "s.at")],
         )
         .distinct()
     )
@@ -279,14 +272,14 @@ def similar_earlier(docs: DataFrame, first: DataFrame) -> DataFrame:
     """
     both = durable(_meetings(_marks(docs, first)))
     found = _in_order(both.filter("mark IS NULL").select("hash", "first_hash", "apart"), first)
-    many = both.filter("mark IS NOT NULL").select("mark", "hash", "bits", "n")
+    many = both.filter("mark IS NOT NULL").select("mark", "hash", "bits", "n", "at")
     many = many.join(first.drop("copies"), "hash")
     passes = _earlier("t", "s") & _passes("s", "t")
     kind = {"size": F.expr("n div 8"), "part": F.expr("bits & 255")}
     hubs = (
         many.withColumns(kind)
         .groupBy("mark", "size", "part")
-        .agg(F.min(F.struct(*_PLACE, "hash", "bits", "n")).alias("hub"))
+        .agg(F.min(F.struct(*_PLACE, "hash", "bits", "n", "at")).alias("hub"))
         .select("mark", "size", "part", "hub.*")
     )
     tied = many.withColumns(kind).alias("s").join(hubs.alias("t"), ["mark", "size", "part"])
