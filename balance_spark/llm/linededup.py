@@ -12,12 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from balance_spark.llm.common import BLANKS, durable, fresh, partitions, words
+from balance_spark.llm.common import BLANKS, durable, fresh, partitions, stored, words
 
 #: Words are counted in this many classes of hashes.
 CLASS_BITS = 16
 #: Lines that are looked up again are told apart in this many classes of hashes.
-WANTED = 1 << 20
+WANTED = 1 << 22
+#: Marks are hashes of so many bits; lines that meet by chance do not pass the filters.
+MARK_BITS = 40
 #: A mark of more distinct lines than this is joined in two steps.
 HOT_LINES = 256
 LAST = (1 << 63) - 1
@@ -181,7 +183,9 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _marks(docs: DataFrame, first: DataFrame) -> DataFrame:
-    """``(mark, hash, bits, n, at)``: each line at each mark of its prefix, dealt out by mark.
+    """``(size, hash, bits, mark)``: each line at each mark of its prefix, dealt out by mark.
+
+    ``size`` holds ``n``, the words of the line, above the 32 bits of ``at``, the mark's place.
 
     A mark is a word with the next one of the line in the order of rarity; the last word has
     the end for its next.  Of two lines with ``n`` and ``m`` words, ``o`` of them in both, each
@@ -203,6 +207,9 @@ def _marks(docs: DataFrame, first: DataFrame) -> DataFrame:
     parity = "aggregate(`set`, 0L, (bits, w) -> bits ^ shiftleft(1L, CAST(w & 63L AS INT)))"
     both = "(n + (4 * n + 4) div 5)"
     least = f"3 * ({both} div 9) + least(3, ({both} % 9 + 1) div 2)"
+    # Behind the last word there is NULL, which a hash leaves out.
+    mark = F.xxhash64("word", F.get("set", F.col("at") + 1))
+    mark = F.shiftrightunsigned(mark, 64 - MARK_BITS)
     rows = (
         _lines(docs)
         .withColumn("hash", F.xxhash64("said"))
@@ -218,10 +225,10 @@ def _marks(docs: DataFrame, first: DataFrame) -> DataFrame:
         )
         # No prefix is empty; the plain form would first ask so, and make all sets again for it.
         .select("hash", "set", "bits", "n", F.posexplode_outer("prefix").alias("at", "word"))
+        # What is random stands together, so the rest is compressed away: most of the disk is this.
         .select(
-            # Behind the last word there is NULL, which a hash leaves out.
-            F.xxhash64("word", F.get("set", F.col("at") + 1)).alias("mark"),
-            "hash", "bits", "n", (F.col("at") + 1).alias("at"),
+            F.expr("shiftleft(CAST(n AS long), 32) + at + 1").alias("size"),
+            "hash", "bits", mark.alias("mark"),
         )
     )
     return rows.repartition(partitions(docs.sparkSession), "mark")
@@ -242,7 +249,13 @@ def _meetings(marks: DataFrame) -> DataFrame:
         .filter("low <> high")
         .drop("low", "high")
         .distinct()
-        .withColumn("lines", F.count("*").over(at_mark))
+        .withColumns(
+            {
+                "lines": F.count("*").over(at_mark),
+                "n": F.shiftright("size", 32).cast("int"),
+                "at": F.col("size").bitwiseAND(F.lit((1 << 32) - 1)).cast("int"),
+            }
+        )
     )
     line = F.struct("hash", "bits", "n", "at")
     many = F.when(F.col("lines") > HOT_LINES, F.col("hash"))  # each a group of its own
@@ -273,7 +286,7 @@ def similar_earlier(docs: DataFrame, first: DataFrame) -> DataFrame:
     both = durable(_meetings(_marks(docs, first)))
     found = _in_order(both.filter("mark IS NULL").select("hash", "first_hash", "apart"), first)
     many = both.filter("mark IS NOT NULL").select("mark", "hash", "bits", "n", "at")
-    many = many.join(first.drop("copies"), "hash")
+    many = durable(many.join(first.drop("copies"), "hash"))
     passes = _earlier("t", "s") & _passes("s", "t")
     kind = {"size": F.expr("n div 8"), "part": F.expr("bits & 255")}
     hubs = (
@@ -306,27 +319,27 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     An empty table gives an empty result.  Other columns are not read.  Lines of any length are
     compared by all their words; longer ones just have more marks.
     """
-    said = _lines(docs).select(
-        *_PLACE, "unnamed", F.xxhash64("said").alias("hash")
+    said = stored(
+        _lines(docs).select(*_PLACE, "unnamed", F.xxhash64("said").alias("hash")), "lines-said"
     )
-    first = durable(
+    first = stored(
         said.groupBy("hash")
         .agg(F.min(F.struct(*_PLACE)).alias("place"), F.count("*").alias("copies"))
-        .select("hash", "place.*", "copies")
+        .select("hash", "place.*", "copies"),
+        "lines-first",
     )
     similar = similar_earlier(docs, first).withColumn("similar", F.lit(True))
-    gone = (
-        first.join(similar, "hash", "left")
-        .filter("copies > 1 OR similar")
-        .select("hash", F.col("row").alias("own_row"), F.col("line").alias("own_line"), "similar")
+    # Joined by place, not by hash: each place is there once, however many copies a line has.
+    places = first.join(similar, "hash", "left").select(
+        "row", "line", F.coalesce("similar", F.lit(False)).alias("similar")
     )
-    at_first = (F.col("row") == F.col("own_row")) & (F.col("line") == F.col("own_line"))
     return (
-        said.join(gone, "hash")
-        .filter(~at_first | F.col("similar"))
+        said.drop("hash")
+        .join(places, ["row", "line"], "left")
+        .filter("similar IS NULL OR similar")
         .select(
             F.when(~F.col("unnamed"), F.col("doc")).alias("doc"),
-            "row", "line", (~at_first).alias("copy"),
+            "row", "line", F.col("similar").isNull().alias("copy"),
         )
     )
 
